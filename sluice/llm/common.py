@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         if not batch.num_rows:
             continue
         values = batch.column(column)
-        lengths = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
         at, size = 0, 0
         for i, n in enumerate(lengths):
             if size and size + n > limit:

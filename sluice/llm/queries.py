@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sluice.llm import chat, quality
+from sluice.llm import bpe, chat, quality, rans
 
 QUERIES = {
+    "op1_bpe_transducer": bpe.op1_bpe_transducer,
     "op3_fertility_rules": quality.op3_fertility_rules,
     "op4_preference_pairs": chat.op4_preference_pairs,
+    "op6_rans_ids": rans.op6_rans_ids,
 }
 
 ORACLE_SQL = {
