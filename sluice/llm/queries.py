@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, quality, rans, simhash, warc
+from sluice.llm import bpe, chat, lines, quality, rans, simhash, warc
 
 QUERIES = {
     "op1_bpe_transducer": bpe.op1_bpe_transducer,
     "op3_fertility_rules": quality.op3_fertility_rules,
     "op4_preference_pairs": chat.op4_preference_pairs,
     "op6_rans_ids": rans.op6_rans_ids,
+    "op7_fuzzy_lines": lines.op7_fuzzy_lines,
     "op8_warc_shards": warc.op8_warc_shards,
     "op10_simhash_vptree": simhash.op10_simhash_vptree,
 }
 
 ORACLE_SQL = {
     "op4_preference_pairs": chat.ORACLE_SQL,
+    "op7_fuzzy_lines": lines.op7_fuzzy_lines,
     "op8_warc_shards": warc.ORACLE_SQL,
 }
