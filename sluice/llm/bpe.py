@@ -16,7 +16,6 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -32,7 +31,7 @@ LEXICON_WORDS, WORD_BYTES = 1 << 17, 48
 #: lossy counting, whose error is below one in the words of a run and touches no result.
 COUNT_RUN = 300_000
 #: Merged words that a Python worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 400_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -81,36 +80,58 @@ def _served() -> str:
 
 
 class Encoder:
-    """Words of a step to (ids, their text, decoded text, number), by the transducer or else by exact merges."""
+    """Words of a step to what ``make`` makes of their ids, by the transducer or else by exact merges.
 
-    def __init__(self, path: str, name: str | None):
+    A word that the transducer lacks is cut into pre-tokens; those that it has as words need no merges either.
+    """
+
+    def __init__(self, path: str, name: str | None, make: str):
         self.bpe = wordbpe.load(path)
         self.lexicon = lexicon.open_lexicon(SparkFiles.get(name)) if name else None
-        self.known: list[tuple | None] = [None] * (self.lexicon.size if self.lexicon else 0)
-        self.memo: dict[str, tuple] = {}
-
-    def entry(self, ids: list[int]) -> tuple[list[int], str, str, int]:
-        return ids, " ".join(map(str, ids)), self.bpe.decode(ids), len(ids)
-
-    def table(self, distinct: list[str]) -> dict[str, tuple]:
-        out = {}
-        slots = self.lexicon.slots([w.encode("utf-8", "replace") for w in distinct]).tolist() if self.lexicon else [-1] * len(distinct)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        for w, s in zip(distinct, slots, strict=True):
+        self.make = self.digest if make == "digest" else self.plain
+        self.known: list = [None] * (self.lexicon.size if self.lexicon else 0)
+        self.memo: dict[str, object] = {}
+        self.pre: dict[str, list[int]] = {}
+
+    @staticmethod
+    def plain(ids: list[int]) -> list[int]:
+        return ids
+
+    def digest(self, ids: list[int]) -> tuple[str, str, int]:
+        return " ".join(map(str, ids)), self.bpe.decode(ids), len(ids)
+
+    def slots(self, words: list[str]) -> list[int]:
+        return self.lexicon.slots([w.encode("utf-8", "replace") for w in words]).tolist() if self.lexicon else [-1] * len(words)
+
+    def table(self, distinct: list[str]) -> dict[str, object]:
+        known, memo, out, new = self.known, self.memo, {}, []
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+            self.pre.clear()
+        for w, s in zip(distinct, self.slots(distinct), strict=True):
             if s >= 0:
-                e = self.known[s]
+                e = known[s]
                 if e is None:
-                    e = self.known[s] = self.entry(self.lexicon.ids(s))
+                    e = known[s] = self.make(self.lexicon.ids(s))
+                out[w] = e
+            elif w in memo:
+                out[w] = memo[w]
             else:
-                e = self.memo.get(w)
-                if e is None:
-                    e = self.memo[w] = self.entry(self.bpe.encode_word(w))
-            out[w] = e
+                new.append(w)
+        special, pre = self.bpe.special, self.pre
+        cut = [(w, self.bpe.pre_tokens(w)) for w in new if w not in special]
+        unseen = list({p for _, ps in cut for p in ps} - pre.keys())
+        for p, s in zip(unseen, self.slots(unseen), strict=True):
+            pre[p] = self.lexicon.ids(s) if s >= 0 else self.bpe.merge(p)
+        for w, ps in cut:
+            out[w] = memo[w] = self.make(pre[ps[0]] if len(ps) == 1 else [i for p in ps for i in pre[p]])
+        for w in new:
+            if w in special:
+                out[w] = self.make([special[w]])
         return out
 
-    def documents(self, texts: list[str]) -> Iterator[list[tuple]]:
-        """The entries of each text's words."""
+    def documents(self, texts: list[str]) -> Iterator[list]:
+        """What is made of each text's words."""
         split = [wordbpe.words(t) for t in texts]
         table = self.table(list({w for ws in split for w in ws}))
         for ws in split:
@@ -120,12 +141,12 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, name: str | None) -> Encoder:
+def encoder(path: str, name: str | None, make: str) -> Encoder:
     """One encoder in a worker; another lexicon takes its place."""
-    if (path, name) not in _ENCODERS:
+    if (path, name, make) not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, name] = Encoder(path, name)
-    return _ENCODERS[path, name]
+        _ENCODERS[path, name, make] = Encoder(path, name, make)
+    return _ENCODERS[path, name, make]
 
 
 def encode(docs: DataFrame, path: str, name: str | None = None) -> DataFrame:
@@ -138,9 +159,9 @@ def encode(docs: DataFrame, path: str, name: str | None = None) -> DataFrame:
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, name)
+        enc = encoder(path, name, "plain")
         for b in steps(batches, "text"):
-            ids = [[i for e in es for i in e[0]] for es in enc.documents(texts_of(b))]
+            ids = [[i for e in es for i in e] for es in enc.documents(texts_of(b))]
             cols = [b.column(c) for c in keep] + [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids"])
 
@@ -165,15 +186,14 @@ def digests(docs: DataFrame, path: str, name: str | None) -> DataFrame:
     """doc_id, n_tokens and SHA-256 of the decimal ids and of the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, name)
+        enc = encoder(path, name, "digest")
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
         for b in steps(batches, "text"):
             n, ids, text = [], [], []
             for es in enc.documents(texts_of(b)):
-                # a word of no ids (white space alone) can't occur; an empty text has no words
-                n.append(sum([e[3] for e in es]))
-                ids.append(sha(" ".join([e[1] for e in es])))
-                text.append(sha(" ".join([e[2] for e in es])))
+                n.append(sum([e[2] for e in es]))
+                ids.append(sha(" ".join([e[0] for e in es])))
+                text.append(sha(" ".join([e[1] for e in es])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -82,14 +82,21 @@ class WordBpe:
     def merge(self, pre: str) -> list[int]:
         """Ids of one pre-token: the pair of least rank, leftmost first, until no pair merges."""
         s, rank = self.symbols(pre), self.rank
-        if len(s) > 48:
+        if len(s) > 64:
             s = self._merge_long(s)
-        else:
-            while len(s) > 1:
-                best, at = min((rank.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(s, s[1:], strict=False)))
-                if best == 1 << 30:
-                    break
+        elif len(s) > 1:
+            never = len(rank)
+            ranks = [rank.get(p, never) for p in zip(s, s[1:], strict=False)]
+            while (best := min(ranks)) < never:
+                at = ranks.index(best)
                 s[at : at + 2] = [s[at] + s[at + 1]]
+                del ranks[at]
+                if not ranks:
+                    break
+                if at:
+                    ranks[at - 1] = rank.get((s[at - 1], s[at]), never)
+                if at < len(ranks):
+                    ranks[at] = rank.get((s[at], s[at + 1]), never)
         return [self.ids[x] for x in s]
 
     def _merge_long(self, s: list[str]) -> list[str]:
@@ -117,7 +124,7 @@ class WordBpe:
         return [i for pre in self.pre_tokens(word) for i in self.merge(pre)]
 
     def pre_tokens(self, word: str) -> list[str]:
-        if _FAR.search(word):
+        if not word.isascii() and _FAR.search(word):
             return [p for p, _ in self.far_pattern.pre_tokenize_str(word)]
         return self.pattern.findall(word)
 
