@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sluice.llm import bpe, chat, decontaminate, lines, quality, rans, simhash, toxicity, warc
+from sluice.llm import bpe, chat, decontaminate, lines, quality, rans, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_bpe_transducer": bpe.op1_bpe_transducer,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_fertility_rules": quality.op3_fertility_rules,
     "op4_preference_pairs": chat.op4_preference_pairs,
     "op5_toxic_segments": toxicity.op5_toxic_segments,
