@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import quality
+from sluice.llm import bpe, decontaminate, lines, quality, simhash
 from sluice.llm.common import materialize, read
 
+#: Quality rules drop what they reject; line dedup takes lines out of texts; one document of each near-duplicate group
+#: stays; documents with benchmark items go; what is left is encoded.
 STAGES = [
     ("quality rules", quality.quality_stage),
+    ("line dedup", lines.lines_stage),
+    ("near-duplicates", simhash.simhash_stage),
+    ("decontamination", decontaminate.decontamination_stage),
+    ("bpe encoding", bpe.bpe_stage),
 ]
 
-#: None: fuzzy components, ranked retrieval and tokenizer output are not expressible in SQL.
+#: None: fuzzy components, ranked retrieval and tokenizer output can't be written in SQL.
 ORACLE_SQL = None
 
 
