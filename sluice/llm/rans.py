@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from sluice.llm.common import materialize, range_shards, read, shared_path, step
 
 LOW = 1 << 31
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
-#: Bytes of text that a shard is cut for, and distinct words a worker remembers.
-SHARD_BYTES, MEMO_WORDS = 16 << 20, 300_000
+#: Bytes of text that a shard is cut for, and half the words a worker remembers.
+SHARD_BYTES, MEMO_WORDS = 8 << 20, 230_000
 END_ID = 1
 _BLOCK = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, words, steps between checkpoints, checkpoints, crc of words, crc of ids
 _FILE = struct.Struct("<8sIIII")  # magic, blocks, documents, crc of the table, bytes of the directory
@@ -145,39 +146,39 @@ def decode_file(data: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np.n
     return doc_ids, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-class _Words:
-    """Ids of words as the tokenizers library gives them; a text's ids are those of its words, in order."""
+class _Words(dict):
+    """Words, in bytes of their ids, as the tokenizers library gives them; a text's ids are those of its words, in
+    order.  A pre-token is a word too, so both are remembered together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path, self.bpe = path, wordbpe.load(path)
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.bpe = wordbpe.load(path)
         self.model = Tokenizer.from_file(path).model
-        self.pre: dict[str, bytes] = {}
-        self.memo: dict[str, bytes] = {}
 
-    def word(self, w: str) -> bytes:
+    def __missing__(self, w: str) -> bytes:
+        if w in self.older:
+            self[w] = ids = self.older.pop(w)
+            return ids
         if w in self.bpe.special:
-            return np.uint32(self.bpe.special[w]).tobytes()
-        out = []
-        for p in self.bpe.pre_tokens(w):
-            ids = self.pre.get(p)
-            if ids is None:
-                byte = self.bpe.byte
-                ids = self.pre[p] = np.array([t.id for t in self.model.tokenize("".join([byte[b] for b in p.encode("utf-8", "replace")]))], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+            ids = array("I", [self.bpe.special[w]]).tobytes()
+        else:
+            cut = self.bpe.pre_tokens(w)
+            if cut == [w]:
+                symbols = w if w.isascii() and w.isprintable() else "".join([self.bpe.byte[b] for b in w.encode("utf-8", "replace")])
+                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+            else:
+                ids = b"".join([self[p] for p in cut])
+        self[w] = ids
+        return ids
 
     def text(self, text: str) -> bytes:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            self.pre.clear()
-        ws = wordbpe.words(text)
-        for w in ws:
-            if w not in memo:
-                memo[w] = self.word(w)
-        return b"".join([memo[w] for w in ws])
+        if len(self) > MEMO_WORDS:  # words in use come back from the older half
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, wordbpe.words(text)))
 
 
 @functools.lru_cache(maxsize=1)
