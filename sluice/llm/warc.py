@@ -29,6 +29,8 @@ MIN_REVISIT_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "warc-record")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes given to the decompressor at a time; what it leaves of them belongs to the next record.
+_PIECE = 1 << 15
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
 
@@ -162,12 +164,15 @@ def write_warc(
 
 def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each member of a file."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data)
-        if not z.eof:
-            raise OSError("a record ends too early")
-        data = z.unused_data
+    at, view = 0, memoryview(data)
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise OSError("a record ends too early")
+            parts.append(z.decompress(view[at : at + _PIECE]))
+            at += len(view[at : at + _PIECE]) - len(z.unused_data)
+        raw = b"".join(parts)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
         yield headers, rest[: int(headers["Content-Length"])]
