@@ -2,7 +2,7 @@
 
 Passages of every document are queries against the index of items.  An item's score is taken as a share of the
 score that the item's own words give, so one threshold serves all.  For each item the words of least impact, which
-together can't reach half of the threshold, are left to the second step; a passage whose other words could lift
+together hold a small share of the threshold, are left to the second step; a passage whose other words could lift
 some item over the threshold goes through block-max WAND, which gives all items above it.  Those are verified by
 the 5-word shingles of the item's question and answer that stand near the passage.
 """
@@ -10,6 +10,7 @@ the 5-word shingles of the item's question and answer that stand near the passag
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ K1, B, BLOCK = 1.2, 0.75, 64
 SCORE, OVERLAP, SHINGLE, PASSAGE = 0.4, 0.5, 5, 64
 #: Items of one index; more are indexed in parts, each of which all documents are put to.
 INDEX_ITEMS = 50_000
+#: Share of the threshold that an item's words of least impact may hold and be left to the second step.
+INESSENTIAL = 0.25
 
 
 def words_of(text: str) -> list[str]:
@@ -78,24 +81,26 @@ class Index:
                     essential.append([])
                 x = float(x / own)
                 posts[k].append((i, x))
-                if self.rest[i] + x < SCORE / 2:
+                if self.rest[i] + x < SCORE * INESSENTIAL:
                     self.rest[i] += x
                 else:
                     essential[k].append((i, x))
         self.items = [np.array([i for i, _ in p], np.int64) for p in posts]
         self.impacts = [np.array([x for _, x in p]) for p in posts]
         self.most = [float(x.max()) for x in self.impacts]
-        self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
+        self.block_most = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)).tolist() for x in self.impacts]
         self.starts = np.cumsum([0, *map(len, essential)])
         self.e_items = np.array([i for p in essential for i, _ in p], np.int64)
         self.e_impacts = np.array([x for p in essential for _, x in p])
 
     def plausible(self, term: np.ndarray, passage: np.ndarray) -> np.ndarray:
         """Of words (term, passage): the passages that could lift an item over the threshold."""
-        often = self.starts[term + 1] - self.starts[term]
-        at = np.flatnonzero(often)
+        at = np.flatnonzero(self.starts[term + 1] > self.starts[term])
         if not len(at) or not self.ids:
             return np.zeros(0, np.int64)
+        once = np.unique(passage[at] * len(self.terms) + term[at])  # a word counts once a passage
+        passage, term = once // len(self.terms), once % len(self.terms)
+        often, at = self.starts[term + 1] - self.starts[term], np.arange(len(term))
         n = often[at]
         post = np.repeat(self.starts[term[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())
         key = np.repeat(passage[at], n) * len(self.ids) + self.e_items[post]
@@ -105,9 +110,10 @@ class Index:
 
     def above(self, terms: list[int], threshold: float = SCORE) -> list[tuple[int, float]]:
         """(item, score) of all items whose impacts over the distinct ``terms`` add up to the threshold: block-max WAND."""
-        lists = sorted(set(terms))
+        lists = {t: self.items[t].tolist() for t in sorted(set(terms))}
         place = dict.fromkeys(lists, 0)
-        at = lambda t: int(self.items[t][place[t]]) if place[t] < len(self.items[t]) else 1 << 62
+        at = lambda t: lists[t][place[t]] if place[t] < len(lists[t]) else 1 << 62
+        skip = lambda t, to: bisect_left(lists[t], to, place[t])
         out, floor = [], threshold - 1e-9
         while True:
             live = sorted((x, t) for t in lists if (x := at(t)) < 1 << 62)
@@ -124,15 +130,15 @@ class Index:
             ahead = [t for _, t in live[: k + 1]]
             block_bound, block_end = 0.0, 1 << 62
             for t in ahead:
-                p = place[t] + int(np.searchsorted(self.items[t][place[t] :], pivot))
-                if p < len(self.items[t]):
-                    block_bound += float(self.block_most[t][p // BLOCK])
-                    block_end = min(block_end, int(self.items[t][min(len(self.items[t]), (p // BLOCK + 1) * BLOCK) - 1]))
+                p = skip(t, pivot)
+                if p < len(lists[t]):
+                    block_bound += self.block_most[t][p // BLOCK]
+                    block_end = min(block_end, lists[t][min(len(lists[t]), (p // BLOCK + 1) * BLOCK) - 1])
             if block_bound < floor:
                 target = min(block_end + 1, live[k + 1][0] if k + 1 < len(live) else 1 << 62)
                 target = max(target, pivot + 1)
                 for t in ahead:
-                    place[t] += int(np.searchsorted(self.items[t][place[t] :], target))
+                    place[t] = skip(t, target)
             elif live[0][0] == pivot:
                 score = sum(float(self.impacts[t][place[t]]) for t in ahead if at(t) == pivot)
                 if score >= floor:
@@ -141,7 +147,7 @@ class Index:
                     place[t] += at(t) == pivot
             else:
                 for t in ahead:
-                    place[t] += int(np.searchsorted(self.items[t][place[t] :], pivot))
+                    place[t] = skip(t, pivot)
 
 
 def hits(index: Index, texts: list[str]) -> list[tuple[int, int, float, float, float, float]]:
