@@ -24,7 +24,7 @@ from sluice.llm.components import Forest, components
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Points a shard is cut for, points of a tile, points of a leaf, and the sample that the shards' tree is made of.
-SHARD_POINTS, TILE_POINTS, LEAF_POINTS, SAMPLE = 16_384, 32_768, 384, 8_192
+SHARD_POINTS, TILE_POINTS, LEAF_POINTS, SAMPLE = 32_768, 131_072, 384, 8_192
 
 
 def shingle_hashes(text: str) -> np.ndarray:
