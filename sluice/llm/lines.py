@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import materialize, read, steps, texts_of
-from sluice.llm.components import Forest, components
+from sluice.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
 #: At similarity 0.8 a pair shares a key with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99.
@@ -25,7 +25,7 @@ BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
 #: Lines of fewer shingles than FULL have a minimum per function, those of at least DIVIDED a minimum per bin.  Sizes of
 #: lines at similarity 0.8 differ by a factor of 0.8 at most, so both lines of a pair have signatures of one kind.
-DIVIDED, FULL = 140, 176
+DIVIDED, FULL = 80, 101
 #: Lines of a group that are compared in one task; a larger group is dealt as tiles of block pairs.
 TILE_LINES = 2_048
 #: Candidate lines whose hashes are handed to the scan as a filter (8 bytes each); beyond it the join alone finds them.
@@ -63,7 +63,8 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     for k, p in ((1, 0x9FB21C651E98DF25), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
-        c = _mixed(c[:-k] * np.uint64(p) + c[k:]) if len(c) > k else c[:0]
+        c = c[:-k] * np.uint64(p) + c[k:] if len(c) > k else c[:0]
+    c = _mixed(c)
     owner = np.repeat(np.arange(len(lines)), size)
     inside = owner[: len(c)] == owner[SHINGLE - 1 :] if len(c) else np.zeros(0, bool)
     short = np.flatnonzero(size < SHINGLE)
@@ -154,7 +155,7 @@ def _distinct_lines(texts: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """(gid, h1): lines (by the first half of their hash) that share a band's key, each set of lines once."""
+    """(lead, gid, h1): lines (by the first half of their hash) that share a band's key, each set of lines once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
@@ -202,10 +203,12 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
         gid = _mixed(total + sizes.astype(np.uint64)).view(np.int64)
         last = np.sort(np.unique(gid, return_index=True)[1])
         keep = np.isin(np.repeat(np.arange(len(sizes)), sizes), last)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gid, sizes)[keep]), pa.array(member[keep])], ["gid", "h1"])
+        # a line leads at most a group for each of its bands, so groups of one leader meet in one task
+        lead = np.minimum.reduceat(member, np.cumsum(sizes) - sizes)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, sizes)[keep]) for c in (lead, gid)), pa.array(member[keep])], ["lead", "gid", "h1"])
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, payload binary")
-    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "gid long, h1 long").distinct()
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, "lead long, gid long, h1 long").distinct()
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -232,18 +235,43 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"]).join(wanted, "h1", "left_semi")
 
 
-def verify(lines: list[str]) -> Forest:
-    """Links of a group of distinct lines; two lines that are already connected need no comparison."""
-    forest, sets = Forest(len(lines)), [shingles(x) for x in lines]
-    for i in range(len(lines) - 1):
-        root = forest.all()
-        other = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        if not len(other) and (root == root[i]).all():
+class Judge:
+    """Exact similarity of lines; what was found stays known until the next leader."""
+
+    def __init__(self):
+        self.lead, self.sets, self.found = None, {}, {}
+
+    def begin(self, lead: object) -> None:
+        if lead != self.lead or len(self.sets) > 4 * TILE_LINES:
+            self.lead, self.sets, self.found = lead, {}, {}
+
+    def shingles(self, line: str) -> set[str]:
+        if line not in self.sets:
+            self.sets[line] = shingles(line)
+        return self.sets[line]
+
+    def similar(self, a: str, b: str) -> bool:
+        if (a, b) not in self.found:
+            if len(self.found) > 1 << 16:
+                self.found.clear()
+            self.found[a, b] = similar(self.shingles(a), self.shingles(b))
+        return self.found[a, b]
+
+
+def verify(lines: list[str], judge: Judge) -> list[int]:
+    """Of a group of distinct lines, the first line that each is connected to; two lines that are connected already
+    need no comparison."""
+    n = len(lines)
+    root = list(range(n))
+    for i in range(n - 1):
+        for j in range(i + 1, n):
+            a, b = root[i], root[j]
+            if a != b and judge.similar(lines[i], lines[j]):
+                low, high = min(a, b), max(a, b)
+                root = [low if r == high else r for r in root] if n > 2 else [0, 0]
+        if not any(root):
             break
-        near = [j for j in other.tolist() if similar(sets[i], sets[j])]
-        if near:
-            forest.join(np.array([i, *near]))
-    return forest
+    return root
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -256,15 +284,15 @@ def links(docs: DataFrame) -> DataFrame:
     member = groups.join(texts, "h1").join(sizes, "gid", "left").withColumn("t", F.coalesce("t", F.lit(1)))
     own = F.pmod(F.col("h1"), F.col("t")).cast("int")
     tiled = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select(
-        "gid", F.least(own, F.col("o")).alias("i"), F.greatest(own, F.col("o")).alias("j"), "h1", "h2", "text"
+        "lead", "gid", F.least(own, F.col("o")).alias("i"), F.greatest(own, F.col("o")).alias("j"), "h1", "h2", "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, judge = None, [], Judge()
 
         def close() -> pa.RecordBatch:
-            root = verify([r["text"] for r in held]).all()
-            a = [(held[i], held[k]) for i, k in enumerate(root.tolist()) if i != k]
+            judge.begin(held[0]["lead"])
+            a = [(held[i], held[k]) for i, k in enumerate(verify([r["text"] for r in held], judge)) if i != k]
             node = lambda r: {"h1": r["h1"], "h2": r["h2"]}
             return pa.RecordBatch.from_pylist([{"a": node(x), "b": node(y)} for x, y in a], schema=_EDGE)
 
@@ -278,7 +306,7 @@ def links(docs: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield close()
 
-    dealt = tiled.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "text")
+    dealt = tiled.repartition("lead", "i", "j").sortWithinPartitions("lead", "gid", "i", "j", "text")
     return dealt.mapInArrow(run, "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>")
 
 
@@ -286,13 +314,13 @@ _NODE = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
 _EDGE = pa.schema([("a", _NODE), ("b", _NODE)])
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """(doc_id, line) of every line that an earlier line of its component stands for.
 
     Earlier is by (doc_id, line number), a null doc_id first (as the least long).  Blank lines are no lines and are
     never removed; null texts have none; rows of equal doc_id are one document; an empty table gives nothing.
     """
-    seen = materialize(occurrences(docs), "lines")
+    seen = materialize(occurrences(docs), "lines") if seen is None else seen
     ref = F.struct("doc_id", "line")
     reps = materialize(seen.groupBy("h1", "h2").agg(F.min(ref).alias("ref"), F.max(ref).alias("last")), "line-reps")
     parts = components(links(docs)).select("component", F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"))
@@ -306,20 +334,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return seen.join(keep, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keep")).select("doc_id", "line").distinct()
 
 
-def _per_document(docs: DataFrame) -> DataFrame:
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
+def _per_document(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    gone = removed_lines(docs, seen).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
     return materialize(gone.withColumnRenamed("doc_id", "_of"), "line-gone")
 
 
 def op7_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, ascending."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.translate(x, SPACES, "") != ""))
-    n = docs.select("doc_id", lines.cast("long").alias("n_lines"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_of"))
-    gone = _per_document(docs)
+    seen = materialize(occurrences(docs), "lines")
+    gone = _per_document(docs, seen)
+    lines = seen.groupBy(F.col("doc_id").alias("_of")).agg(F.countDistinct("line").alias("n"))
+    ids = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_of"))
     none = F.array().cast("array<int>")
-    return n.join(gone, "_of", "left").select(
-        "doc_id", "n_lines", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.coalesce("_gone", none).cast("array<string>"), ",").alias("removed_lines")
+    return ids.join(lines, "_of", "left").join(gone, "_of", "left").select(
+        "doc_id",
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join(F.coalesce("_gone", none).cast("array<string>"), ",").alias("removed_lines"),
     )
 
 
