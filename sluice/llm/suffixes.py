@@ -28,8 +28,8 @@ SPAN = LENGTH - GRAM + 1
 SHALLOW, SMALL = 32, 48
 #: Unlike stretches of a gram from which its strings meet by digest, and how many such grams there can be.
 HOT_STRETCHES, HOT_GRAMS = 4_096, 100_000
-#: Bytes of text for a step and for a bucket.
-STEP, BUCKET_BYTES = 3 << 20, 24 << 20
+#: Bytes of text for a step, for a run of steps that is packed at once, and for a bucket.
+STEP, RUN, BUCKET_BYTES = 1 << 20, 12 << 20, 24 << 20
 NULL_ID = -(1 << 63)
 
 ANCHOR, SPANS, STRETCH, HOT, TEXT, CONTEXT, DIGEST = 0, 1, 2, 3, 9, 4, 5
@@ -152,34 +152,46 @@ def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np
 
 
 def find(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of the texts: stretches that the step holds twice are settled, the rest go to the bucket of their gram."""
+    """Anchors of the texts: stretches that a run of steps holds twice are settled, the rest go to the bucket of their gram."""
+    held: list[list[np.ndarray]] = []
+    size = 0
     for b in steps(batches, "text", STEP):
         ids = np.array([NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
         raw = [(x or "").encode("utf-8", "replace") for x in b.column("text").to_pylist()]
         for part in _pieces(raw):
-            rows: list[tuple[int, int, bytes]] = []
             text = b"".join(raw[i] for i in part)
             sizes = np.array([len(raw[i]) for i in part], np.int64)
+            size += len(text)
             owner = np.repeat(np.arange(len(part)), sizes)
             gram, first, last = anchors(np.frombuffer(text, np.uint8), owner)
             if not len(gram):
                 continue
             stretch = np.array([xxhash.xxh64_intdigest(text[s : e + LENGTH]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-            doc = ids[part][owner[first]]
-            start, n = first - (np.cumsum(sizes) - sizes)[owner[first]], last - first + 1
-            order = np.lexsort((start, doc, stretch, gram))
-            gram, stretch, doc, start, n = (c[order] for c in (gram, stretch, doc, start, n))
-            new = firsts(gram, stretch)
-            rows += dealt(SPANS, *_covered(new, doc, start, n, buckets))
-            gram, stretch, doc, start, n = (c[new] for c in (gram, stretch, doc, start, n))
-            at = np.flatnonzero(firsts(gram))
-            unlike = np.diff(np.append(at, len(gram)))
-            many = np.repeat(unlike > 1, unlike)
-            # stretches that surely have a rival need no bucket to say so; it is told of their gram once
-            rows += dealt(STRETCH, of_doc(doc[many], buckets), [doc[many], start[many], n[many], gram[many]])
-            told = np.where(unlike > 1, unlike, 0)
-            rows += dealt(ANCHOR, of_gram(gram[at], buckets), [gram[at], stretch[at], doc[at], start[at], n[at], told])
-            yield batch(rows)
+            start = (first - (np.cumsum(sizes) - sizes)[owner[first]]).astype(np.uint32)
+            held.append([gram, stretch, ids[part][owner[first]], start, (last - first + 1).astype(np.uint8)])
+        if size >= RUN:
+            yield batch(_settled_here(held, buckets))
+            held, size = [], 0
+    yield batch(_settled_here(held, buckets))
+
+
+def _settled_here(held: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
+    if not held:
+        return []
+    gram, stretch, doc, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
+    start, n = start.astype(np.int64), n.astype(np.int64)
+    order = np.lexsort((start, doc, stretch, gram))
+    gram, stretch, doc, start, n = (c[order] for c in (gram, stretch, doc, start, n))
+    new = firsts(gram, stretch)
+    rows = dealt(SPANS, *_covered(new, doc, start, n, buckets))
+    gram, stretch, doc, start, n = (c[new] for c in (gram, stretch, doc, start, n))
+    at = np.flatnonzero(firsts(gram))
+    unlike = np.diff(np.append(at, len(gram)))
+    many = np.repeat(unlike > 1, unlike)
+    # stretches that surely have a rival need no bucket to say so; it is told of their gram once
+    rows += dealt(STRETCH, of_doc(doc[many], buckets), [doc[many], start[many], n[many], gram[many]])
+    told = np.where(unlike > 1, unlike, 0)
+    return rows + dealt(ANCHOR, of_gram(gram[at], buckets), [gram[at], stretch[at], doc[at], start[at], n[at], told])
 
 
 def _pieces(raw: list[bytes]) -> Iterator[list[int]]:
@@ -236,15 +248,30 @@ def settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 def text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Texts, packed by bucket of their document."""
-    for b in steps(batches, "text", STEP):
-        ids = np.array([NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
-        raw = [(x or "").encode("utf-8", "replace") for x in b.column("text").to_pylist()]
-        bucket = of_doc(ids, buckets)
+    ids: list[int] = []
+    raw: list[bytes] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        doc = np.array(ids, np.int64)
+        bucket = of_doc(doc, buckets)
         rows = []
         for k in np.unique(bucket).tolist():
             at = np.flatnonzero(bucket == k).tolist()
-            rows.append((k, TEXT, pack(TEXT, [ids[at], np.array([len(raw[i]) for i in at], np.uint32)], b"".join(raw[i] for i in at))))
-        yield batch(rows)
+            rows.append((k, TEXT, pack(TEXT, [doc[at], np.array([len(raw[i]) for i in at], np.uint32)], b"".join(raw[i] for i in at))))
+        return batch(rows)
+
+    for b in steps(batches, "text", STEP):
+        ids += [NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()]
+        more = [(x or "").encode("utf-8", "replace") for x in b.column("text").to_pylist()]
+        raw += more
+        size += sum(map(len, more))
+        if size >= RUN:
+            yield packed()
+            ids.clear()
+            raw.clear()
+            size = 0
+    yield packed()
 
 
 def _cut(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -256,7 +283,9 @@ def fetch(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> I
     """A bucket of documents: the text of the stretches that have a rival, to the bucket of their gram; the strings of
     hot grams by digest."""
     held: list[bytes] = []
-    wanted = None
+    cooled: list[list[np.ndarray]] = []
+    heated: list[list[np.ndarray]] = []
+    wanted, size = None, 0
     for b in batches:
         for r in b.to_pylist():
             if r["kind"] == STRETCH:  # these come before the texts
@@ -280,13 +309,12 @@ def fetch(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> I
             fits = start[at] + n[at] + LENGTH - 1 <= np.repeat(sizes[mine].astype(np.int64), each)
             at, base = at[fits], base[fits]
             is_hot = np.isin(gram[at], hot)
-            rows: list[tuple[int, int, bytes]] = []
             cool = np.flatnonzero(~is_hot)
-            bucket = of_gram(gram[at[cool]], buckets)
-            for k in np.unique(bucket).tolist():
-                c = cool[bucket == k]
-                i = at[c]
-                rows.append((k, CONTEXT, pack(CONTEXT, [gram[i], doc[i], start[i], n[i]], _cut(text, base[c] + start[i], n[i] + LENGTH - 1).tobytes())))
+            if len(cool):
+                i = at[cool]
+                cut = n[i] + LENGTH - 1
+                cooled.append([gram[i], doc[i], start[i], n[i], _cut(text, base[cool] + start[i], cut)])
+                size += int(cut.sum())
             h = np.flatnonzero(is_hot)
             if len(h):
                 i = at[h]
@@ -294,8 +322,28 @@ def fetch(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> I
                 first = np.repeat(start[i], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
                 owner, place = np.repeat(doc[i], each), np.repeat(base[h], each) + first
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in place.tolist()), "<u8").reshape(-1, 2)
-                rows += dealt(DIGEST, of_gram(digest[:, 0], buckets), [digest[:, 0], digest[:, 1], owner, first])
-            yield batch(rows)
+                heated.append([digest[:, 0], digest[:, 1], owner, first])
+                size += 28 * len(digest)
+            if size >= RUN // 2:
+                yield batch(_dealt_contexts(cooled, heated, buckets))
+                cooled, heated, size = [], [], 0
+    yield batch(_dealt_contexts(cooled, heated, buckets))
+
+
+def _dealt_contexts(cooled: list[list[np.ndarray]], heated: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
+    rows: list[tuple[int, int, bytes]] = []
+    if cooled:
+        gram, doc, start, n, text = (np.concatenate(c) for c in zip(*cooled, strict=True))
+        cut = n + LENGTH - 1
+        base = np.cumsum(cut) - cut
+        bucket = of_gram(gram, buckets)
+        for k in np.unique(bucket).tolist():
+            i = np.flatnonzero(bucket == k)
+            rows.append((k, CONTEXT, pack(CONTEXT, [gram[i], doc[i], start[i], n[i]], _cut(text, base[i], cut[i]).tobytes())))
+    if heated:
+        a, b, doc, start = (np.concatenate(c) for c in zip(*heated, strict=True))
+        rows += dealt(DIGEST, of_gram(a, buckets), [a, b, doc, start])
+    return rows
 
 
 class BlindTrie:
@@ -467,7 +515,7 @@ def spans_and_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
     by_bucket = lambda df: df.repartitionById(buckets, F.col("bucket"))
     texts = docs.mapInArrow(lambda it: text_rows(it, buckets), _ROWS)
     found = by_bucket(docs.mapInArrow(lambda it: find(it, buckets), _ROWS)).mapInArrow(lambda it: settle(it, buckets), _ROWS)

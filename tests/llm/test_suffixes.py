@@ -51,6 +51,7 @@ def check(spark, folder, texts, ids):
 @pytest.mark.parametrize("step,hot", [(3 << 20, 4096), (3000, 4096), (3000, 2)])
 def test_query_equals_all_strings(spark, tmp_path, monkeypatch, step, hot):
     monkeypatch.setattr(sx, "STEP", step)
+    monkeypatch.setattr(sx, "RUN", 4 * step)
     monkeypatch.setattr(sx, "HOT_STRETCHES", hot)
     texts = [*ODD_TEXTS, "a" * 400, "ab" * 150, "a" * 99, "b" * 100, "b" * 100, "c" * 101, *near(60)]
     check(spark, tmp_path, texts, [len(texts) - i for i in range(len(texts))])
