@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 STEP_BYTES = 4 << 20
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes: a batch of ten thousand long texts costs both sides of the pipe dearly."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -36,6 +43,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    lean(df.sparkSession)
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

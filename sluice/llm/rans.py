@@ -25,7 +25,7 @@ from sluice.llm.common import materialize, range_shards, read, shared_path, step
 LOW = 1 << 31
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
 #: Bytes of text that a shard is cut for, and half the words a worker remembers.
-SHARD_BYTES, MEMO_WORDS = 8 << 20, 230_000
+SHARD_BYTES, MEMO_WORDS = 8 << 20, 150_000
 END_ID = 1
 _BLOCK = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, words, steps between checkpoints, checkpoints, crc of words, crc of ids
 _FILE = struct.Struct("<8sIIII")  # magic, blocks, documents, crc of the table, bytes of the directory

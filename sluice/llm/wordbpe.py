@@ -126,6 +126,10 @@ class WordBpe:
     def pre_tokens(self, word: str) -> list[str]:
         if not word.isascii() and _FAR.search(word):
             return [p for p, _ in self.far_pattern.pre_tokenize_str(word)]
+        if word.isalpha():  # the two commonest cases, as the pattern has them
+            return [word]
+        if word[:-1].isalpha():
+            return [word[:-1], word[-1]]
         return self.pattern.findall(word)
 
     def decode(self, ids) -> str:
