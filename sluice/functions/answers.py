@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.text import strip
+
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: strip(x)), lambda x: x != "")
 
 
 def _last(items: Column) -> Column:
@@ -27,7 +29,7 @@ def letter_answer(text: Column) -> Column:
             _found(text, r"Answer:\s*([A-Da-d])"),
             _found(_last(alone), r"([A-Da-d])"),
             _found(text, r"[Tt]he answer is\s*:?\s*\(?([A-Da-d])"),
-            _found(F.trim(text), r"^\(?([A-Da-d])(?:[).:\s]|$)"),
+            _found(strip(text), r"^\(?([A-Da-d])(?:[).:\s]|$)"),
         )
     )
 
@@ -44,7 +46,7 @@ def same_number(a: Column, b: Column) -> Column:
 def line_answer(text: Column) -> Column:
     """The first 'Answer:' line's rest in any case, else the last line; without dots and outer space, in lower case."""
     got = F.coalesce(_found(text, r"(?im)answer:[ \t]*(.*)$"), _last(_lines(text)), F.lit(""))
-    return F.lower(F.trim(F.regexp_replace(got, r"^[\s.]+|[\s.]+$", "")))
+    return F.lower(strip(F.regexp_replace(got, r"^[\s.]+|[\s.]+$", "")))
 
 
 def boxed(text: Column) -> Column:
@@ -97,6 +99,76 @@ def yes_no_label(text: Column) -> Column:
     return F.when(t.rlike(r"\byes\b"), F.lit("yes")).when(t.rlike(r"\bno\b"), F.lit("no"))
 
 
+def code_answer(text: Column) -> Column:
+    """The last fenced block's code, else from the first line that defines or imports something, else the text.
+
+    Nothing is run here: what the code is worth has to come in as a column.
+    """
+    fenced = _last(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"```(?:[a-zA-Z0-9_+-]*)\n([\s\S]*?)```"), 1))
+    defined = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^(?:def |class |import |from )[\s\S]*", 0)
+    return strip(F.coalesce(fenced, F.when(defined != "", defined), text, F.lit("")))
+
+
+def _letters(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
+    a = letter_answer(said)
+    return a, a == F.upper(strip(gold))
+
+
+def _numbers(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
+    a = number_answer(said)
+    return a.cast("string"), same_number(a, F.coalesce(number_answer(gold), F.regexp_replace(gold, ",", "").try_cast("double")))
+
+
+def _line(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
+    a = line_answer(said)
+    return a, a == F.lower(strip(F.regexp_replace(gold, r"^[\s.]+|[\s.]+$", "")))
+
+
+def _math(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
+    a = math_answer(said)
+    return a, same_math(a, normalized_math(gold))
+
+
+def _graph(said: Column, gold: Column, kind: Column) -> tuple[Column, Column]:
+    a = graph_answer(said, kind)
+    return a, a == F.lower(strip(gold))
+
+
+def _yes_no(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
+    a = yes_no_label(said)
+    return a, a == yes_no_label(gold)
+
+
+#: How a benchmark's answers are read and compared, by its names.
+SCORERS = {"gpqa": _letters, "mmlu": _letters, "gsm8k": _numbers, "bbh": _line, "math500": _math, "graphwiz": _graph, "nlgraph": _yes_no}
+#: Other names of benchmarks.
+ALIASES = {"gpqa_diamond": "gpqa", "math": "math500", "math_500": "math500", "nlgraph_yesno": "nlgraph", "big_bench_hard": "bbh"}
+
+
+def score(df: DataFrame, benchmark: str, said: str = "said", gold: str = "gold", kind: str | None = None) -> DataFrame:
+    """``df`` with answer and correct by the benchmark's rules; no answer is wrong.  graphwiz leaves topology tasks out,
+    nlgraph items without a label."""
+    name = ALIASES.get(benchmark.lower(), benchmark.lower())
+    if name not in SCORERS:
+        raise KeyError(f"unknown benchmark {benchmark}")
+    k = F.col(kind) if kind else F.lit("yes_no")
+    if name == "graphwiz" and kind:
+        df = df.where(F.col(kind) != "topology")
+    if name == "nlgraph":
+        df = df.where(yes_no_label(F.col(gold)).isNotNull())
+    answer, correct = SCORERS[name](F.col(said), F.col(gold), k)
+    return df.withColumn("answer", answer).withColumn("correct", F.coalesce(correct, F.lit(False)))
+
+
+def summary(results: dict[str, DataFrame]) -> DataFrame:
+    """A row per checkpoint: mean of its tasks' accuracies and how many there are, from tables of (task, accuracy)."""
+    out = None
+    for name, df in results.items():
+        row = macro_average(df).withColumn("checkpoint", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def accuracy(df: DataFrame, correct: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(correct).cast("long")).alias("n_correct"), F.avg(F.col(correct).cast("double")).alias("accuracy"))
 

@@ -16,6 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Whitespace-separated tokens; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")
@@ -33,7 +38,7 @@ def words(text: Column) -> Column:
 def sample_text(messages: Column, target: Column) -> Column:
     """Trimmed non-blank contents and target, one a line."""
     parts = F.concat(F.transform(messages, lambda m: m["content"]), F.array(target))
-    return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(F.coalesce(p, F.lit("")))), lambda p: p != ""), "\n")
+    return F.array_join(F.filter(F.transform(parts, lambda p: strip(F.coalesce(p, F.lit("")))), lambda p: p != ""), "\n")
 
 
 def joined_text(messages: Column, target: Column) -> Column:
@@ -43,7 +48,7 @@ def joined_text(messages: Column, target: Column) -> Column:
 
 def response_text(messages: Column, target: Column) -> Column:
     """The last non-blank assistant message, else the target, else empty."""
-    said = F.filter(messages, lambda m: (m["role"] == "assistant") & (F.trim(F.coalesce(m["content"], F.lit(""))) != ""))
+    said = F.filter(messages, lambda m: (m["role"] == "assistant") & (strip(F.coalesce(m["content"], F.lit(""))) != ""))
     return F.coalesce(F.when(F.size(said) > 0, F.element_at(said, -1)["content"]), target, F.lit(""))
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,6 +140,29 @@ def token_average(df: DataFrame, length: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys, "idx").agg((F.sum("val") / F.first(length)).alias("val")).where("val > 0")
 
 
+def without_zeros(sparse: Column) -> Column:
+    """A sparse vector without entries of 0."""
+    return F.filter(sparse, lambda e: e["val"] != 0)
+
+
+def positive_summary(df: DataFrame, score: str) -> DataFrame:
+    """count, mean and population deviation of the scores above 0; zeros without any."""
+    c = F.when(F.col(score) > 0, F.col(score).cast("double"))
+    return df.agg(F.count(c).alias("count"), F.coalesce(F.avg(c), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("std"))
+
+
+def random_projection(df: DataFrame, key: str, vector: str, width: int, size: int, seed: int = 0) -> DataFrame:
+    """(key, v): vectors of ``width`` times a seeded matrix of 1 and -1, which every task makes for itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = np.random.default_rng(seed).integers(0, 2, (width, size)).astype(np.float64) * 2 - 1
+        for pdf in frames:
+            if len(pdf):
+                yield pd.DataFrame({key: pdf[key], "v": list(np.stack(pdf[vector].to_numpy()).astype(np.float64) @ signs)})
+
+    return df.select(key, vector).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, v array<double>")
+
+
 def ifd(full_loss: Column, response_loss: Column) -> Column:
     return F.when(response_loss > 1e-8, full_loss / response_loss).otherwise(1.0)
 

@@ -118,7 +118,7 @@ CONV = """c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'content': coa
 , p AS (SELECT conv_id, t, CASE WHEN t[-1].role = 'assistant' THEN t[:len(t) - 1] ELSE t END AS said, CASE WHEN t[-1].role = 'assistant' THEN t[-1].content END AS target FROM c)"""
 
 
-@query(f"WITH {CONV} SELECT conv_id, coalesce(list_filter(said, lambda m: m.role = 'assistant' AND trim(m.content) <> '')[-1].content, target, '') AS response FROM p")
+@query(f"WITH {CONV} SELECT conv_id, coalesce(list_filter(said, lambda m: m.role = 'assistant' AND regexp_replace(m.content, '^\s+|\s+$', '', 'g') <> '')[-1].content, target, '') AS response FROM p")
 def response_text(spark, sf):
     p = conversations_pool(table(spark, sf, "conversations"))
     return p.select(F.col("ord").alias("conv_id"), text.response_text(F.col("messages"), F.col("target_text")).alias("response"))
@@ -127,7 +127,7 @@ def response_text(spark, sf):
 @query(
     f"""WITH {CONV} SELECT conv_id, CAST(len(said) AS BIGINT) AS n_messages, target IS NOT NULL AS has_target, len(t) > 2 AS has_multiturn,
   len(list_filter(t, lambda m: m.role = 'system')) > 0 AS has_system_prompt,
-  md5(array_to_string(list_filter(list_transform(list_concat(list_transform(said, lambda m: m.content), [coalesce(target, '')]), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS text_md5
+  md5(array_to_string(list_filter(list_transform(list_concat(list_transform(said, lambda m: m.content), [coalesce(target, '')]), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_md5
 FROM p"""
 )
 def conv_to_canonical(spark, sf):
@@ -536,6 +536,19 @@ def score_summary(spark, sf):
     return s.select("count", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean")))
 
 
+@query("SELECT count(v) AS count, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (SELECT CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 17)::DOUBLE / 17 END AS v FROM documents) WHERE v > 0")
+def positive_score_summary(spark, sf):
+    v = F.when(F.col("ord") % 3 != 0, (F.col("ord") % 17).cast("double") / 17)
+    s = vectors.positive_summary(pool(spark, sf).withColumn("v", v), "v")
+    return s.select("count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query()
+def random_projection(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.random_projection(e, "vec_id", "embedding", 64, 16).select("vec_id", F.size("v").cast("long").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("norm"))
+
+
 INFLUENCE = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), valid AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, v FROM e WHERE vec_id < 20)
 , d AS (SELECT t.vec_id, pos, list_dot_product(t.v, valid.v) AS x FROM e t, valid WHERE t.vec_id >= 20)"""
 
@@ -634,6 +647,24 @@ def merged_eval_sets(spark, sf):
     return records.merge_tagged({"a": b, "b": b.where("item_id < 10").drop("text")}).groupBy("data_source").agg(F.count("*").alias("n"))
 
 
+@query("SELECT * FROM (VALUES ('bbh', 2, 2), ('gpqa', 2, 4), ('gsm8k', 1, 2), ('math500', 2, 2), ('mmlu', 1, 1), ('nlgraph', 1, 1)) t(task, n_correct, n)")
+def benchmark_scores(spark, sf):
+    rows = None
+    for b in sorted({t for _, t, _, _ in SAID}):
+        part = answers.score(said(spark).where(F.col("task") == b), b).select("task", "correct")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("task").agg(F.sum(F.col("correct").cast("int")).cast("int").alias("n_correct"), F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN 'def f():' || chr(10) || '  return ' || doc_id ELSE 'x = ' || doc_id END) AS code FROM documents")
+def code_answers(spark, sf):
+    d = table(spark, sf, "documents")
+    made = F.when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n"), F.lit("def f():\n  return "), F.col("doc_id").cast("string"))
+    ).otherwise(F.concat(F.lit("Here\n```python\nold\n```\nor\n```\nx = "), F.col("doc_id").cast("string"), F.lit("\n```\nbye")))
+    return d.select("doc_id", answers.code_answer(made).alias("code"))
+
+
 # --- search log -----------------------------------------------------------------------------------------------------
 
 LOG = [
@@ -660,6 +691,15 @@ def operator_credit(spark, sf):
     return credit.operator_credit(log_rows(spark)).withColumn("credit", F.round("credit", 6))
 
 
+@query(
+    f"""WITH {LOG_SQL}, e AS (SELECT c.score - p.score AS d, list_sort(list_filter(c.ops, lambda o: NOT list_contains(p.ops, o) AND o NOT IN ('truncate_samples', 'union'))) AS a FROM log c JOIN log p ON c.parent_name = p.recipe_name)
+, x AS (SELECT unnest(a) AS first, a, d / (len(a) * (len(a) - 1) / 2) AS v FROM e WHERE len(a) > 1), y AS (SELECT first, unnest(a) AS second, v FROM x)
+SELECT first, second, round(sum(v), 6) AS credit, count(*) AS n FROM y WHERE second > first GROUP BY ALL"""
+)
+def operator_pair_credit(spark, sf):
+    return credit.pair_credit(log_rows(spark)).withColumn("credit", F.round("credit", 6))
+
+
 @query(f"WITH {LOG_SQL}, r AS (SELECT *, min(cost) OVER (ORDER BY score DESC, cost, iteration ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM log) SELECT recipe_name, score, cost FROM r WHERE least IS NULL OR cost < least")
 def pareto_front(spark, sf):
     return credit.pareto_front(log_rows(spark))
