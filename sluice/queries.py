@@ -402,8 +402,7 @@ def source_mix_all(spark, sf):
 SELECT row_number() OVER (ORDER BY source_name, spot) AS place, sample_id FROM c"""
 )
 def source_mix_oversample(spark, sf):
-    p = english(spark, sf).where(F.col("source_name").isin("src0", "src1"))
-    return picked(mix.SourceMix(source_weights={"src0": 1, "src1": 1}, total_samples=800, allow_oversample=True).apply(p))
+    return picked(mix.SourceMix(source_weights={"src0": 1, "src1": 1}, total_samples=800, allow_oversample=True).apply(english(spark, sf)))
 
 
 @query(_mix_sql("1.0::DOUBLE", "250", "md5('7:' || sample_id), ord"))
@@ -483,11 +482,10 @@ def union_branches(spark, sf):
     return picked(Union(source_recipe="german").apply(p.where("source_name = 'src4'"), ctx))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang AS language, n FROM (SELECT doc_id, lang, length(text) AS n FROM documents) WHERE doc_id % 7 = 3")
+@query("SELECT CAST(doc_id AS VARCHAR) AS sample_id, lang AS language, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def materialize_ids(spark, sf):
-    p = pool(spark, sf)
-    ids = p.where("ord % 7 = 3").select("sample_id").union(p.where("ord % 14 = 3").select("sample_id"))
-    return records.materialize_ids(p, ids).select("sample_id", "language", F.length("text").cast("long").alias("n"))
+    p, good = pool(spark, sf), table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").cast("string").alias("sample_id"))
+    return records.materialize_ids(p, good.union(good)).select("sample_id", "language", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT CAST(d.doc_id AS VARCHAR) AS sample_id, q.quality FROM documents d LEFT JOIN (SELECT doc_id, max(CASE WHEN toxic = 0 THEN quality::DOUBLE END) AS quality FROM labels GROUP BY doc_id) q USING (doc_id)")
@@ -549,14 +547,21 @@ def random_projection(spark, sf):
     return vectors.random_projection(e, "vec_id", "embedding", 64, 16).select("vec_id", F.size("v").cast("long").alias("size"), F.round(vectors.norm(F.col("v")), 6).alias("norm"))
 
 
-INFLUENCE = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), valid AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, v FROM e WHERE vec_id < 20)
-, d AS (SELECT t.vec_id, pos, list_dot_product(t.v, valid.v) AS x FROM e t, valid WHERE t.vec_id >= 20)"""
+INFLUENCE = """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), valid AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, v FROM e WHERE label = 0)
+, n AS (SELECT count(*) AS n, CASE WHEN count(*) % 5 = 0 THEN 5 WHEN count(*) % 4 = 0 THEN 4 WHEN count(*) % 3 = 0 THEN 3 WHEN count(*) % 2 = 0 THEN 2 ELSE 1 END AS k FROM valid)
+, d AS (SELECT t.vec_id, pos, list_dot_product(t.v, valid.v) AS x FROM e t, valid WHERE t.label <> 0)"""
 
 
 def _influence(spark, sf, **how):
-    e = table(spark, sf, "embeddings").select("vec_id", F.lit("c").alias("checkpoint"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    valid = e.where("vec_id < 20").select(F.col("vec_id").alias("pos"), "checkpoint", "v")
-    out = vectors.influence(e.where("vec_id >= 20").withColumnRenamed("vec_id", "train_id"), valid, {"c": 2.0}, **how)
+    """Vectors of label 0 stand for the validation set."""
+    from sluice.operators.base import ranked
+
+    e = table(spark, sf, "embeddings").select("vec_id", "label", F.lit("c").alias("checkpoint"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    valid = ranked(e.where("label = 0"), [F.col("vec_id")], "pos").select((F.col("pos") - 1).alias("pos"), "checkpoint", "v")
+    if how.get("subtasks"):
+        n = valid.count()
+        how["subtasks"] = next(k for k in (5, 4, 3, 2, 1) if n % k == 0)
+    out = vectors.influence(e.where("label <> 0").withColumnRenamed("vec_id", "train_id"), valid, {"c": 2.0}, **how)
     return out.select(F.col("train_id").alias("vec_id"), F.round("influence", 6).alias("influence"))
 
 
@@ -565,9 +570,9 @@ def less_influence_max(spark, sf):
     return _influence(spark, sf)
 
 
-@query(INFLUENCE + ", s AS (SELECT vec_id, pos // 5 AS part, avg(x) AS x FROM d GROUP BY ALL) SELECT vec_id, round(max(x), 6) AS influence FROM s GROUP BY vec_id")
+@query(INFLUENCE + ", s AS (SELECT vec_id, pos // (n // k) AS part, avg(x) AS x FROM d, n GROUP BY ALL) SELECT vec_id, round(max(x), 6) AS influence FROM s GROUP BY vec_id")
 def less_influence_subtasks(spark, sf):
-    return _influence(spark, sf, subtasks=4)
+    return _influence(spark, sf, subtasks=5)
 
 
 # --- answers (the fixtures hold none: a few are given) -------------------------------------------------------------
@@ -641,10 +646,9 @@ def eval_shards(spark, sf):
     return answers.shards(table(spark, sf, "benchmark").select("item_id"), "item_id", 4)
 
 
-@query("SELECT data_source, count(*) AS n FROM (SELECT 'a' AS data_source FROM benchmark UNION ALL SELECT 'b' FROM benchmark WHERE item_id < 10) GROUP BY data_source")
+@query("SELECT data_source, count(*) AS n FROM (SELECT 'a' AS data_source FROM benchmark UNION ALL SELECT 'b' FROM conversations) GROUP BY data_source")
 def merged_eval_sets(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return records.merge_tagged({"a": b, "b": b.where("item_id < 10").drop("text")}).groupBy("data_source").agg(F.count("*").alias("n"))
+    return records.merge_tagged({"a": table(spark, sf, "benchmark"), "b": table(spark, sf, "conversations")}).groupBy("data_source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT * FROM (VALUES ('bbh', 2, 2), ('gpqa', 2, 4), ('gsm8k', 1, 2), ('math500', 2, 2), ('mmlu', 1, 1), ('nlgraph', 1, 1)) t(task, n_correct, n)")
