@@ -118,7 +118,7 @@ CONV = """c AS (SELECT conv_id, list({'role': coalesce(role, ''), 'content': coa
 , p AS (SELECT conv_id, t, CASE WHEN t[-1].role = 'assistant' THEN t[:len(t) - 1] ELSE t END AS said, CASE WHEN t[-1].role = 'assistant' THEN t[-1].content END AS target FROM c)"""
 
 
-@query(f"WITH {CONV} SELECT conv_id, coalesce(list_filter(said, lambda m: m.role = 'assistant' AND regexp_replace(m.content, '^\s+|\s+$', '', 'g') <> '')[-1].content, target, '') AS response FROM p")
+@query(f"WITH {CONV} SELECT conv_id, coalesce(list_filter(said, lambda m: m.role = 'assistant' AND regexp_replace(m.content, '^\\s+|\\s+$', '', 'g') <> '')[-1].content, target, '') AS response FROM p")
 def response_text(spark, sf):
     p = conversations_pool(table(spark, sf, "conversations"))
     return p.select(F.col("ord").alias("conv_id"), text.response_text(F.col("messages"), F.col("target_text")).alias("response"))
@@ -127,7 +127,7 @@ def response_text(spark, sf):
 @query(
     f"""WITH {CONV} SELECT conv_id, CAST(len(said) AS BIGINT) AS n_messages, target IS NOT NULL AS has_target, len(t) > 2 AS has_multiturn,
   len(list_filter(t, lambda m: m.role = 'system')) > 0 AS has_system_prompt,
-  md5(array_to_string(list_filter(list_transform(list_concat(list_transform(said, lambda m: m.content), [coalesce(target, '')]), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_md5
+  md5(array_to_string(list_filter(list_transform(list_concat(list_transform(said, lambda m: m.content), [coalesce(target, '')]), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10))) AS text_md5
 FROM p"""
 )
 def conv_to_canonical(spark, sf):
