@@ -97,12 +97,3 @@ def range_shards(df: DataFrame, key: str, weight, target: int, cells: int = 4096
             size = 0
         size += w
     return cuts, len(cuts) + 1
-
-
-def shard_of(key: str, cuts: list[int]):
-    """Column: the shard of a key under ``range_shards`` (null keys: shard 0)."""
-    if not cuts:
-        return F.lit(0)
-    # binary search written as arithmetic over a literal array would be linear; a map-side lookup is as short
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts])
-    return F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0))

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluice.llm.common import drop_table, materialize
 
@@ -93,12 +92,3 @@ def load(out: str, name: str, sha256: str | None = None) -> bytes:
     if sha256 and hashlib.sha256(data).hexdigest() != sha256:
         raise OSError(f"{name}: its digest is not the manifest's")
     return data
-
-
-def remove(out: str, names: list[str]) -> None:
-    fs, root = place(out)
-    for n in names:
-        fs.delete_file(f"{root}/{n}")
-
-
-__all__ = ["ARROW", "MANIFEST", "Attempt", "F", "commit", "load", "manifest_batch", "place", "read_manifest", "remove", "spread"]
