@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +32,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sluice-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, one of our own: a temporary folder if everything runs in one process, as in tests, else one
+    in the warehouse, which all machines see.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (base or _own_base(sc.master, spark.conf.get("spark.sql.warehouse.dir"))).rstrip("/")
+
+
+@functools.cache
+def _own_base(master: str, warehouse: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return f"{warehouse.rstrip('/')}/sluice-shared"
+    folder = tempfile.mkdtemp(prefix="sluice-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

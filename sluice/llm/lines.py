@@ -26,6 +26,13 @@ BINS = BANDS * ROWS
 #: Lines of fewer shingles than FULL have a minimum per function, those of at least DIVIDED a minimum per bin.  Sizes of
 #: lines at similarity 0.8 differ by a factor of 0.8 at most, so both lines of a pair have signatures of one kind.
 DIVIDED, FULL = 80, 101
+#: Bytes of text of a step: the arrays of a step stay near the processor.
+STEP = 512 << 10
+#: Lines of groups that are verified at once, characters of lines whose shingles are hashed at once, and hashes
+#: that stay at hand.
+BLOCK_LINES, BLOCK_CHARS, KEPT_SHINGLES = 1_500, 1 << 19, 3_000_000
+#: Keys that are packed at once.
+PACKED_KEYS = 1 << 18
 #: Lines of a group that are compared in one task; a larger group is dealt as tiles of block pairs.
 TILE_LINES = 2_048
 #: Candidate lines whose hashes are handed to the scan as a filter (8 bytes each); beyond it the join alone finds them.
@@ -68,6 +75,8 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(lines)), size)
     inside = owner[: len(c)] == owner[SHINGLE - 1 :] if len(c) else np.zeros(0, bool)
     short = np.flatnonzero(size < SHINGLE)
+    if not len(short):
+        return c[inside], owner[: len(c)][inside]
     whole = np.array([xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass"), 7) for i in short], np.uint64)
     h, line = np.concatenate([c[inside], whole]), np.concatenate([owner[: len(c)][inside], short])
     order = np.argsort(line, kind="stable")
@@ -79,7 +88,7 @@ def _per_function(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     out = np.empty((len(starts), BINS), np.uint32)
     h = h.astype(np.uint64)
     for k in range(BINS):
-        f = ((h ^ (_MIX * np.uint64(2 * k + 1))) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)) >> np.uint64(32)
+        f = ((h ^ np.uint64(int(_MIX) * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD6E8FEB86659FD93 + 2 * k)) >> np.uint64(32)
         out[:, k] = np.minimum.reduceat(f.astype(np.uint32), starts)
     return out
 
@@ -158,19 +167,29 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
     """(lead, gid, h1): lines (by the first half of their hash) that share a band's key, each set of lines once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, "text"):
-            lines, h = _distinct_lines(texts_of(b))
-            if not lines:
-                continue
-            key, owner = band_keys(lines)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def packed() -> pa.RecordBatch:
+            key, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
             bucket = (key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, key, own = bucket[order], key[order], h[owner[order], 0]
+            bucket, key, own = bucket[order], key[order], own[order]
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             ends = np.append(at[1:], len(bucket))
             short = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:]  # 40 bits beside those of the bucket
             rows = [short[s:e].tobytes() + own[s:e].astype("<i8").tobytes() for s, e in zip(at.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "payload"])
+
+        for b in steps(batches, "text", STEP):
+            lines, h = _distinct_lines(texts_of(b))
+            for s, e in runs([len(x) for x in lines]):
+                key, owner = band_keys(lines[s:e])
+                held.append((key, h[s:e][owner, 0]))
+            if sum(len(k) for k, _ in held) > PACKED_KEYS:
+                yield packed()
+        if held:
+            yield packed()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for b in batches for x in b.column("payload").to_pylist()]
@@ -220,6 +239,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         few = spark.sparkContext.broadcast(np.sort(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in steps(batches, "text"):
             lines, h = _distinct_lines(texts_of(b))
             if not lines:
@@ -230,31 +250,59 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     continue
                 near = np.minimum(np.searchsorted(few.value, h[:, 0]), len(few.value) - 1)
                 at = at[few.value[near] == h[:, 0]]
+                # each wanted line once a task; no more of them than the filter holds
+                new = [i for i, k in zip(at.tolist(), h[at, 1].tolist(), strict=True) if k not in met]
+                met.update(h[new, 1].tolist())
+                at = np.array(new, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[at, 0]), pa.array(h[at, 1]), pa.array([lines[i] for i in at], pa.string())], ["h1", "h2", "text"])
 
-    return docs.select("text").mapInArrow(run, "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"]).join(wanted, "h1", "left_semi")
+    out = docs.select("text").mapInArrow(run, "h1 long, h2 long, text string").dropDuplicates(["h1", "h2"])
+    return out if few is not None else out.join(wanted, "h1", "left_semi")
 
 
 class Judge:
-    """Exact similarity of lines; what was found stays known until the next leader."""
+    """Similarity of lines by the hashes of their shingles, near the threshold by the shingles themselves; what was
+    found stays known until the next leader."""
 
     def __init__(self):
-        self.lead, self.sets, self.found = None, {}, {}
+        self.lead, self.found, self.hashes, self.kept = None, {}, {}, 0
 
     def begin(self, lead: object) -> None:
-        if lead != self.lead or len(self.sets) > 4 * TILE_LINES:
-            self.lead, self.sets, self.found = lead, {}, {}
-
-    def shingles(self, line: str) -> set[str]:
-        if line not in self.sets:
-            self.sets[line] = shingles(line)
-        return self.sets[line]
+        if lead != self.lead:
+            self.lead, self.found = lead, {}
+
+    def learn(self, lines: list[str]) -> None:
+        """Hash the lines that aren't at hand, many at once."""
+        new = [x for x in dict.fromkeys(lines) if x not in self.hashes]
+        for s, e in runs([len(x) for x in new]):
+            h, line = _shingle_hashes(new[s:e])
+            ends = np.cumsum(np.bincount(line, minlength=e - s)).tolist()
+            if self.kept + len(h) > KEPT_SHINGLES:
+                self.hashes, self.kept = {}, 0
+            self.kept += len(h)
+            for i, x in enumerate(new[s:e]):
+                self.hashes[x] = np.unique(h[ends[i - 1] if i else 0 : ends[i]])
+
+    def of(self, line: str) -> np.ndarray:
+        if line not in self.hashes:
+            self.learn([line])
+        return self.hashes[line]
 
     def similar(self, a: str, b: str) -> bool:
         if (a, b) not in self.found:
             if len(self.found) > 1 << 16:
                 self.found.clear()
-            self.found[a, b] = similar(self.shingles(a), self.shingles(b))
+            x, y = self.of(a), self.of(b)
+            least = SIMILARITY * max(len(x), len(y))
+            if min(len(x), len(y)) + 4 < least:
+                got = False
+            else:
+                both = np.concatenate([x, y])
+                both.sort()
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                over = n - SIMILARITY * (len(x) + len(y) - n)
+                got = similar(shingles(a), shingles(b)) if abs(over) <= 4 else over > 0
+            self.found[a, b] = got
         return self.found[a, b]
 
 
@@ -274,6 +322,36 @@ def verify(lines: list[str], judge: Judge) -> list[int]:
     return root
 
 
+def _group(row: dict) -> tuple:
+    return row["gid"], row["i"], row["j"]
+
+
+def runs(sizes: list[int], limit: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes add up to about the limit; a larger item is a run of its own."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > (limit or BLOCK_CHARS):
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
+def _linked(rows: list[dict], judge: Judge) -> pa.RecordBatch:
+    """Edges of a run of whole groups."""
+    starts = [i for i, r in enumerate(rows) if not i or _group(r) != _group(rows[i - 1])]
+    bounds = [*starts, len(rows)]
+    edges: list[tuple[int, int]] = []
+    for s, e in runs([sum(len(r["text"]) for r in rows[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]):
+        judge.learn([r["text"] for r in rows[bounds[s] : bounds[e]]])
+        for at, end in zip(bounds[s:e], bounds[s + 1 : e + 1], strict=True):
+            judge.begin(rows[at]["lead"])
+            edges += [(at + i, at + k) for i, k in enumerate(verify([r["text"] for r in rows[at:end]], judge)) if i != k]
+    node = lambda r: {"h1": r["h1"], "h2": r["h2"]}
+    return pa.RecordBatch.from_pylist([{"a": node(rows[i]), "b": node(rows[k])} for i, k in edges], schema=_EDGE)
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct lines, known as struct<h1, h2>, of exact similarity 0.8 or more."""
     spark = docs.sparkSession
@@ -288,23 +366,18 @@ def links(docs: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, judge = None, [], Judge()
-
-        def close() -> pa.RecordBatch:
-            judge.begin(held[0]["lead"])
-            a = [(held[i], held[k]) for i, k in enumerate(verify([r["text"] for r in held], judge)) if i != k]
-            node = lambda r: {"h1": r["h1"], "h2": r["h2"]}
-            return pa.RecordBatch.from_pylist([{"a": node(x), "b": node(y)} for x, y in a], schema=_EDGE)
-
+        held: list[dict] = []
+        judge = Judge()
         for b in batches:
-            for r in b.to_pylist():
-                if (r["gid"], r["i"], r["j"]) != at:
-                    if len(held) > 1:
-                        yield close()
-                    at, held = (r["gid"], r["i"], r["j"]), []
-                held.append(r)
-        if len(held) > 1:
-            yield close()
+            held += b.to_pylist()
+            if len(held) >= BLOCK_LINES:
+                last = _group(held[-1])
+                n = next((i for i in range(len(held) - 1, -1, -1) if _group(held[i]) != last), -1) + 1
+                if n:  # the last group may go on
+                    yield _linked(held[:n], judge)
+                    held = held[n:]
+        if held:
+            yield _linked(held, judge)
 
     dealt = tiled.repartition("lead", "i", "j").sortWithinPartitions("lead", "gid", "i", "j", "text")
     return dealt.mapInArrow(run, "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>")
