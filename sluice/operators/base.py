@@ -6,6 +6,11 @@ A dataset is a DataFrame with ``ord`` (strictly increasing in the dataset's orde
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,9 +23,23 @@ WINDOW_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + f"/sluice-tables/{uuid.uuid4().hex}"
+    """A new folder for an intermediate table, under spark.checkpoint.dir.
+
+    Where that is unset: a temporary folder if everything runs in one process, else the warehouse, which all machines
+    of a cluster see.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (base or _own_base(sc.master, spark.conf.get("spark.sql.warehouse.dir"))).rstrip("/") + f"/sluice-tables/{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _own_base(master: str, warehouse: str) -> str:
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        return warehouse
+    folder = tempfile.mkdtemp(prefix="sluice-tables-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
 
 
 def cut(df: DataFrame) -> DataFrame:
