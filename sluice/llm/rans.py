@@ -25,7 +25,7 @@ from sluice.llm.common import materialize, range_shards, read, shared_path, step
 LOW = 1 << 31
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
 #: Bytes of text that a shard is cut for, and half the words a worker remembers.
-SHARD_BYTES, MEMO_WORDS = 8 << 20, 150_000
+SHARD_BYTES, MEMO_WORDS = 8 << 20, 190_000
 END_ID = 1
 _BLOCK = struct.Struct("<4sIIIIIII")  # magic, ids, lanes, words, steps between checkpoints, checkpoints, crc of words, crc of ids
 _FILE = struct.Struct("<8sIIII")  # magic, blocks, documents, crc of the table, bytes of the directory
@@ -157,18 +157,20 @@ class _Words(dict):
         self.older: dict[str, bytes] = {}
         self.bpe = wordbpe.load(path)
         self.model = Tokenizer.from_file(path).model
+        self.tokenize = self.model.tokenize
 
     def __missing__(self, w: str) -> bytes:
-        if w in self.older:
-            self[w] = ids = self.older.pop(w)
-            return ids
-        if w in self.bpe.special:
-            ids = array("I", [self.bpe.special[w]]).tobytes()
-        else:
-            cut = self.bpe.pre_tokens(w)
-            if cut == [w]:
-                symbols = w if w.isascii() and w.isprintable() else "".join([self.bpe.byte[b] for b in w.encode("utf-8", "replace")])
-                ids = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        ids = self.older.pop(w, None)
+        if ids is None:
+            head = w[:-1]
+            if w.isascii() and w.isalpha():  # the commonest cases first; letters stand for themselves
+                ids = array("I", [t.id for t in self.tokenize(w)]).tobytes()
+            elif w[-1] in ".,;:!?" and head.isascii() and head.isalpha():
+                ids = self[head] + self[w[-1]]
+            elif w in self.bpe.special:
+                ids = array("I", [self.bpe.special[w]]).tobytes()
+            elif (cut := self.bpe.pre_tokens(w)) == [w]:
+                ids = array("I", [t.id for t in self.tokenize("".join([self.bpe.byte[b] for b in w.encode("utf-8", "replace")]))]).tobytes()
             else:
                 ids = b"".join([self[p] for p in cut])
         self[w] = ids

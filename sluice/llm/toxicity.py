@@ -147,27 +147,22 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
     picked = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     known = {r["doc_id"]: int(r["toxic"] > 0) for r in picked.collect()}  # bounded by rows
-    shared = spark.sparkContext.broadcast(known)
     n_toxic = sum(known.values())
     if not 0 < n_toxic < len(known):
         p = min(max(n_toxic / len(known) if known else 0.0, 1e-6), 1 - 1e-6)
         return Model({}, curve=(float(np.log(p / (1 - p))), 0.0, 0.0))
 
-    def labelled(b: pa.RecordBatch) -> Iterator[tuple[int, int, str]]:
-        label = shared.value
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if d in label:
-                yield d, label[d], t or ""
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter(), Counter()
         for b in steps(batches, "text"):
-            for _, y, t in labelled(b):
+            for y, t in zip(b.column("label").to_pylist(), texts_of(b), strict=True):
                 seen[y].update({f for w in set(words_of(t)) for f in features(w)})  # once a text: a word repeated is no more proof
         ws = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_pydict({"word": pa.array(ws, pa.string()), "clean": pa.array([seen[0][w] for w in ws], pa.int64()), "toxic": pa.array([seen[1][w] for w in ws], pa.int64())})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # the picked rows, at most ``rows`` of them, are handed to the scan; their texts are read once
+    label = F.broadcast(spark.createDataFrame(sorted(known.items()), "doc_id long, label int"))
+    own = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(label, "doc_id").select("label", "text"), "toxicity-rows")
     counted = own.mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = materialize(counted, "toxicity-words")
     total = counted.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).first()
@@ -188,10 +183,11 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            rows = [(y, e[2], max((s for s, _, _ in e[3]), default=0.0), [s for s, _, _ in e[3]]) for _, y, t in labelled(b) for e in [first.value.evidence(t)]]
+            rows = [(y, e[2], max((s for s, _, _ in e[3]), default=0.0), [s for s, _, _ in e[3]]) for y, t in zip(b.column("label").to_pylist(), texts_of(b), strict=True) for e in [first.value.evidence(t)]]
             yield pa.RecordBatch.from_pydict({"y": pa.array([r[0] for r in rows], pa.int32()), "n": pa.array([r[1] for r in rows], pa.int64()), "s": pa.array([r[2] for r in rows], pa.float64()), "all": pa.array([r[3] for r in rows], pa.list_(pa.float64()))})
 
     got = own.mapInArrow(best, "y int, n long, s double, all array<double>").collect()  # a row per training row
+    drop_table(own)
     got.sort(key=lambda r: (r["y"], r["n"], r["s"], r["all"]))
     clean = [(max(1, r["n"]), r["s"]) for r in got if r["y"] == 0]
     model.size = max(1e-9, len(clean) / sum(n * np.exp(-model.decay * s) for n, s in clean))  # most likely under the law
