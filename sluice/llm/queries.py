@@ -19,6 +19,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_preference_pairs": chat.ORACLE_SQL,
-    "op7_fuzzy_lines": lines.op7_fuzzy_lines,
     "op8_warc_shards": warc.ORACLE_SQL,
 }

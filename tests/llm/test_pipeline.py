@@ -70,3 +70,13 @@ def test_nothing_else_uses_the_subpackage():
     for p in (root / "sluice").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"sluice\.llm|from sluice import llm", p.read_text()), p
+
+
+def test_registered_queries():
+    import __spark_entry__ as entry
+    from sluice.llm import queries
+
+    q, sql = entry.queries(), entry.oracle_sql()
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11)) and "pipeline" in q
+    assert set(sql) <= set(q) and all(isinstance(x, str) for x in sql.values())
+    assert set(queries.ORACLE_SQL) == {"op4_preference_pairs", "op8_warc_shards"}
