@@ -23,8 +23,8 @@ SHINGLE, SIMILARITY = 8, 0.8
 #: At similarity 0.8 a pair shares a key with probability 1 - (1 - 0.8 ** 5) ** 12 = 0.99.
 BANDS, ROWS = 12, 5
 BINS = BANDS * ROWS
-#: Lines of fewer shingles than FULL have a minimum per function, those of at least DIVIDED a minimum per bin.  Sizes of
-#: lines at similarity 0.8 differ by a factor of 0.8 at most, so both lines of a pair have signatures of one kind.
+#: Lines of fewer distinct shingles than FULL have a minimum per function, those of at least DIVIDED a minimum per bin.
+#: Sets at similarity 0.8 differ in size by a factor of 0.8 at most, so both lines of a pair have signatures of one kind.
 DIVIDED, FULL = 80, 101
 #: Bytes of text of a step: the arrays of a step stay near the processor.
 STEP = 512 << 10
@@ -93,11 +93,14 @@ def _per_function(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _per_bin(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
-    """One hash per shingle: the least in each bin; an empty bin takes the next full one's."""
+def _per_bin(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """One hash per shingle: the least in each bin; an empty bin takes the next full one's.  Also the distinct shingles
+    of each line, told apart by 38 bits: a count that is one short still leaves both lines of a pair a kind in common."""
     bins = ((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)
     key = np.sort((line.astype(np.uint64) * np.uint64(BINS) + bins) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
     slot = (key >> np.uint64(32)).astype(np.int64)
+    places = np.bincount(line, minlength=n)
+    distinct = np.add.reduceat(np.append(True, key[1:] != key[:-1]), np.cumsum(places) - places, dtype=np.int64)
     first = np.flatnonzero(np.diff(slot, prepend=-1))
     full = np.zeros(n * BINS, bool)
     full[slot[first]] = True
@@ -113,24 +116,31 @@ def _per_bin(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
         take = empty & nxt_full
         out[take], away[take] = nxt[take], nxt_away[take] + 1
         full |= take
-    return out ^ (away * np.uint32(0x9E3779B1))
+    return out ^ (away * np.uint32(0x9E3779B1)), distinct
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(key, line) of every band of every signature of the lines."""
     h, line = _shingle_hashes(lines)
-    n = np.bincount(line, minlength=len(lines))
+    n = np.bincount(line, minlength=len(lines))  # places, repeats included: no fewer than distinct shingles
+    long = np.flatnonzero(n >= DIVIDED)
+    binned, count = None, n.copy()
+    if len(long):
+        binned, count[long] = _per_bin(h[(n >= DIVIDED)[line]], np.repeat(np.arange(len(long)), n[long]), len(long))
     keys, owners = [], []
-    for kind, has in ((1, n < FULL), (2, n >= DIVIDED)):
+    for kind, has in ((1, count < FULL), (2, count >= DIVIDED)):
         at = np.flatnonzero(has)
         if not len(at):
             continue
-        mine = has[line]
         if kind == 1:
-            own = n[at]
-            sig = _per_function(h[mine], np.cumsum(own) - own)
+            own, mine = n[at], h[has[line]]
+            if (own >= FULL).any():  # much repeated: each shingle once
+                ends = np.cumsum(own).tolist()
+                sets = [mine[e - k : e] if k < FULL else np.unique(mine[e - k : e]) for e, k in zip(ends, own.tolist(), strict=True)]
+                own, mine = np.array([len(x) for x in sets]), np.concatenate(sets)
+            sig = _per_function(mine, np.cumsum(own) - own)
         else:
-            sig = _per_bin(h[mine], np.repeat(np.arange(len(at)), n[at]), len(at))
+            sig = binned[has[long]]
         for b in range(BANDS):
             key = np.full(len(at), kind * 1000 + b, np.uint64)
             for r in range(ROWS):

@@ -90,6 +90,24 @@ def test_recall_of_keys_at_the_threshold():
     assert pairs > 60 and hit >= 0.97 * pairs
 
 
+@pytest.mark.parametrize("word, few, many", [("-", 60, 120), ("Sich ", 15, 30), ("| --- ", 10, 20), ("Sich ", 20, 4000), ("abcdefghij" * 8 + " ", 1, 3)])
+def test_repeated_words_on_both_sides_of_the_kinds_share_keys(spark, word, few, many):
+    a, b = ((word * n).strip() for n in (few, many))
+    alike = lines.similar(lines.shingles(a), lines.shingles(b))
+    k, o = lines.band_keys([a, "another line", b])
+    assert not alike or set(k[o == 0]) & set(k[o == 2])
+    assert {tuple(r) for r in lines.removed_lines(docs(spark, [a, "another line", b])).collect()} == ({(2, 0)} if alike else set())
+
+
+def test_kinds_follow_distinct_shingles():
+    r = random.Random(3)
+    for n in (1, 79, 80, 81, 100, 101, 150):
+        s = "".join(r.choice("abcdefghijklmnop") for _ in range(n + 7))
+        for x in (s, s + s[: n // 2] + s):
+            size = len(lines.shingles(x))
+            assert len(lines.band_keys([x])[0]) == lines.BANDS * ((size < lines.FULL) + (size >= lines.DIVIDED))
+
+
 def test_bins_do_not_depend_on_other_lines():
     ls = near_texts(20)[0:10]
     ls = [x for t in ls for _, x in lines.lines_of(t)]
