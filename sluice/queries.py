@@ -152,9 +152,10 @@ def to_sharegpt_turns(spark, sf):
     return rows.select("conv_id", (F.col("p") + 1).cast("long").alias("place"), F.col("t.from").alias("speaker"), F.col("t.value").alias("value"))
 
 
-def _alpaca(spark, sf):
+def _alpaca(spark, sf, output=None):
+    output = F.substring("text", 41, 60) if output is None else output
     d = table(spark, sf, "documents")
-    return d.select(F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"), F.substring("text", 41, 60).alias("output"), F.col("doc_id").cast("string").alias("id"))
+    return d.select(F.substring("text", 1, 40).alias("instruction"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("input"), output.alias("output"), F.col("doc_id").cast("string").alias("id"))
 
 
 @query(
@@ -166,6 +167,16 @@ def alpaca_records(spark, sf):
     return out.select("sample_id", F.col("messages")[0]["content"].alias("user_text"), "target_text", "has_multiturn")
 
 
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS sample_id, substr(text, 1, 40) || CASE WHEN doc_id % 2 = 0 AND lang <> '' THEN chr(10) || chr(10) || lang ELSE '' END AS user_text,
+  substr(text, 41) AS target_text, false AS has_multiturn FROM documents WHERE substr(text, 1, 40) <> ''"""
+)
+def alpaca_records_whole(spark, sf):
+    """Like alpaca_records, whose output ends at the 100th character, with the whole rest of the text."""
+    out = records.from_alpaca(_alpaca(spark, sf, F.expr("substring(text, 41)")).where("instruction <> ''"), "documents")
+    return out.select("sample_id", F.col("messages")[0]["content"].alias("user_text"), "target_text", "has_multiturn")
+
+
 @query("WITH c AS (SELECT conv_id, count(*) AS n FROM conversations WHERE role <> 'nobody' GROUP BY conv_id) SELECT conv_id, CAST(CASE WHEN n > 1 THEN n - 1 ELSE n END AS BIGINT) AS n_messages, n > 2 AS has_multiturn, n > 1 AS has_target FROM c")
 def sharegpt_records(spark, sf):
     t = table(spark, sf, "conversations")

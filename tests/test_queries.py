@@ -42,6 +42,13 @@ def test_query(spark, sf, duck, name):
     assert got == want
 
 
+def test_alpaca_records_hold_whole_texts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    whole = {str(r.doc_id): r.text[40:] for r in rows if r.text}
+    got = {r.sample_id: r.target_text or "" for r in QUERIES["alpaca_records_whole"](spark, sf).collect()}
+    assert got == whole and max(map(len, whole.values())) > 60
+
+
 def test_import_without_the_llm_folders(tmp_path):
     import shutil
     import subprocess
