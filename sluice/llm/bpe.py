@@ -23,27 +23,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.llm import lexicon, wordbpe
-from sluice.llm.common import read, steps, texts_of
+from sluice.llm.common import materialize, read, steps, texts_of
 
 #: Most words in a lexicon (a bound on what the driver gathers, not on the input) and their longest UTF-8 form.
 LEXICON_WORDS, WORD_BYTES = 1 << 17, 48
-#: Distinct words that a task counts before it passes the counts on.  Words seen once in so long a run are left out:
-#: lossy counting, whose error is below one in the words of a run and touches no result.
+#: Distinct words that a task counts before it passes the counts on.
 COUNT_RUN = 300_000
 #: Merged words that a Python worker remembers.
 MEMO_WORDS = 400_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of the normalised words of all texts (null: none)."""
+    """(word, n) of the normalised words of all texts (null: none), but for words too long for a lexicon."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            often = {w: n for w, n in seen.items() if n > 1 and len(w) <= WORD_BYTES}
+            fit = {w: n for w, n in seen.items() if len(w) <= WORD_BYTES}
             seen.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(often), pa.string()), "n": pa.array(list(often.values()), pa.int64())})
+            return pa.RecordBatch.from_pydict({"word": pa.array(list(fit), pa.string()), "n": pa.array(list(fit.values()), pa.int64())})
 
         for b in steps(batches, "text"):
             for t in texts_of(b):
@@ -56,10 +55,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """The first ``most`` rows by n, then word.  Words too rare to be among them are told by a histogram of n and stay
+    with the tasks; otherwise each task would send the driver ``most`` words of its own."""
+    counts = materialize(counts, "word-counts")
+    room, least = most, 0
+    for n, words in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        least, room = n, room - words
+        if room <= 0:
+            break
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+
+
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
     """Compile the ``most`` frequent words and hand the file to the executors; returns its name there."""
     bpe = wordbpe.load(path)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(most).collect()
+    top = most_frequent(word_counts(docs), most)
     entries = {k: bpe.encode_word(r["word"]) for r in top if 0 < len(k := r["word"].encode("utf-8", "replace")) <= WORD_BYTES}
     folder = _served()
     lexicon.write(file := os.path.join(folder, "new"), entries)

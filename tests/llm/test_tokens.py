@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,6 +72,18 @@ def test_encode_then_decode(spark, library):
     assert bpe.encode(docs(spark, []), PATH).count() == 0
 
 
+@pytest.mark.parametrize("run", [300_000, 3])
+def test_word_counts_do_not_depend_on_partitions(spark, monkeypatch, run):
+    monkeypatch.setattr(bpe, "COUNT_RUN", run)
+    texts = [f"common word{i} and word{i % 3}" for i in range(8)] + [None]
+    want = Counter(w for t in texts for w in wordbpe.words(t or ""))
+    for n in (1, 9):
+        d = docs(spark, texts).repartition(n)
+        assert {r.word: r.n for r in bpe.word_counts(d).collect()} == want
+        for most in (1, 4, 100):
+            assert [tuple(r) for r in bpe.most_frequent(bpe.word_counts(d), most)] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 5000), st.integers(1, 3000), st.integers(0, 9))
 def test_blocks_round_trip(n, kinds, seed):
