@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator holds at a time.
 STEP_BYTES = 4 << 20
+#: Stands for a null id where ids are plain longs; it comes before all others.
+NULL_ID = -(1 << 63)
 
 
 def lean(spark: SparkSession) -> None:

@@ -1,12 +1,13 @@
 """Exact substring dedup by sorted suffixes.
 
-A byte goes if a string of LENGTH bytes that covers it also starts earlier.  Not every suffix is sorted: the least
-hash of the GRAM-byte grams in a string is its anchor, equal strings have equal anchors at equal places, and the
-strings of one anchor are a stretch of text.  Equal stretches are settled as wholes, first within a task, then by
-bucket of their gram.  What is left are stretches of one gram that differ; their suffixes are ordered by
-deep-shallow sorting, a multikey quicksort to a shallow depth and blind tries for the groups that still share it,
-and suffixes that agree in LENGTH bytes are one class, of which all but the earliest are repeats.  Grams with very
-many unlike stretches are not gathered: their strings meet by 128-bit digest, spread over all tasks.
+A byte goes if a string of LENGTH bytes that covers it also starts earlier.  Suffixes have to meet to be sorted: the
+least hash of the GRAM-byte grams in a string is its anchor, equal strings have equal anchors at equal places, and the
+strings of one anchor are a stretch of text.  Stretches whose gram occurs once can't repeat and stay where they are;
+the text of all others goes to the bucket of its gram.  Hashes only bring text together: equal stretches are compared
+byte by byte, first within a task, then in the bucket, and the suffixes of the unlike ones are ordered by deep-shallow
+sorting, a multikey quicksort to a shallow depth and blind tries for the groups that still agree there.  Suffixes that
+agree in LENGTH bytes are one class, of which all but the earliest are repeats.  Strings of grams with very many
+stretches are dealt over ranges between sampled splitters and sorted there in the same way.
 """
 
 from __future__ import annotations
@@ -20,27 +21,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, read, steps
+from sluice.llm.common import NULL_ID, materialize, read, steps
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
-#: Bytes that multikey quicksort orders by (in words of 8), and groups that it hands over to a plain sort of that depth.
-SHALLOW, SMALL = 32, 48
-#: Unlike stretches of a gram from which its strings meet by digest, and how many such grams there can be.
-HOT_STRETCHES, HOT_GRAMS = 4_096, 100_000
-#: Bytes of text for a step, for a run of steps that is packed at once, and for a bucket.
+#: Bytes that multikey quicksort orders by, in words of 8.
+SHALLOW = 32
+#: Stretches of a gram from which its strings are dealt by ranges.
+HOT_STRETCHES = 4_096
+#: Bytes of text for a step (and a window of a longer text), for a run of steps that is packed at once, and for a bucket.
 STEP, RUN, BUCKET_BYTES = 1 << 20, 12 << 20, 24 << 20
-NULL_ID = -(1 << 63)
 
-ANCHOR, SPANS, STRETCH, HOT, TEXT, CONTEXT, DIGEST = 0, 1, 2, 3, 9, 4, 5
+ANCHOR, SPANS, STRETCH, HOT, TEXT, CONTEXT, STRING = 0, 1, 2, 3, 9, 4, 5
 _COLUMNS = {
-    ANCHOR: ("<u8", "<u8", "<i8", "<u4", "u1", "<u4"),  # gram, stretch, doc, first start, starts, unlike stretches in the task
-    SPANS: ("<i8", "<u4", "<u4"),  # doc, start, end
-    STRETCH: ("<i8", "<u4", "u1", "<u8"),  # doc, first start, starts, gram
-    HOT: ("<u8", "<u8"),  # gram, unlike stretches
-    TEXT: ("<i8", "<u4"),  # doc, bytes
-    CONTEXT: ("<u8", "<i8", "<u4", "u1"),  # gram, doc, first start, starts
-    DIGEST: ("<u8", "<u8", "<i8", "<u4"),  # digest, doc, start
+    ANCHOR: ("<u8", "<i8", "<u8", "<u4", "u1", "<u4"),  # gram, doc, tie, first start, starts, stretches of the gram that are known elsewhere
+    SPANS: ("<i8", "<u8", "<u4", "<u4"),  # doc, tie, start, end
+    STRETCH: ("<i8", "<u8", "<u4", "u1", "<u8"),  # doc, tie, first start, starts, gram
+    HOT: ("<u8",),  # gram
+    TEXT: ("<i8", "<u8", "<u4", "<u4"),  # doc, tie, bytes, rows
+    CONTEXT: ("<u8", "<i8", "<u8", "<u4", "u1"),  # gram, doc, tie, first start, starts
+    STRING: ("<i8", "<u8", "<u4"),  # doc, tie, start
 }
 _ROWS = "bucket int, kind int, payload binary"
 
@@ -65,13 +65,20 @@ def gather(kind: int, payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, t) for t in _COLUMNS[kind]]
 
 
+def parts_of(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket, and (bucket, from, to) of each in that order."""
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    return order, list(zip(own[at].tolist(), at.tolist(), np.append(at, len(own))[1:].tolist(), strict=True))
+
+
 def dealt(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
     if not len(bucket):
         return []
-    order = np.argsort(bucket, kind="stable")
-    bucket, columns = bucket[order], [c[order] for c in columns]
-    at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(int(bucket[s]), kind, pack(kind, [c[s:e] for c in columns])) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True)]
+    order, parts = parts_of(bucket)
+    columns = [c[order] for c in columns]
+    return [(k, kind, pack(kind, [c[s:e] for c in columns])) for k, s, e in parts]
 
 
 def batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -84,8 +91,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def of_doc(doc: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+def of_doc(doc: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(doc.astype(np.int64).view(np.uint64) ^ mixed(tie.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
 
 def of_gram(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -136,89 +143,115 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Spans in order of (doc, start), with those that touch or overlap made one."""
-    order = np.lexsort((end, start, doc))
-    doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+def merged_spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Spans in order of (doc, tie, start), with those that touch or overlap made one."""
+    order = np.lexsort((end, start, tie, doc))
+    doc, tie, start, end = doc[order], tie[order], start[order].astype(np.int64), end[order].astype(np.int64)
     if not len(doc):
-        return [doc, start, end]
+        return [doc, tie, start, end]
     # the furthest end so far within a document: documents are lifted apart so that one running maximum does
-    lift = np.cumsum(firsts(doc)) * (int(end.max()) + 1)
+    own = firsts(doc, tie)
+    lift = np.cumsum(own) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift) - lift
-    new = firsts(doc)
+    new = own.copy()
     new[1:] |= start[1:] > reach[:-1]
     at = np.flatnonzero(new)
-    return [doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1]]
+    return [doc[at], tie[at], start[at], reach[np.append(at[1:], len(doc)) - 1]]
+
+
+def by_document(doc: np.ndarray, tie: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """Where the rows of each document are, of rows sorted by (doc, tie)."""
+    at = np.flatnonzero(firsts(doc, tie))
+    return dict(zip(zip(doc[at].tolist(), tie[at].tolist(), strict=True), zip(at.tolist(), np.append(at, len(doc))[1:].tolist(), strict=True), strict=True))
+
+
+def documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(doc, tie, text) of rows: a document is an id and a text; texts of one id are told apart, and put in order, by a
+    64-bit hash, so rows that share an id only are documents of their own."""
+    raw = [(x or "").encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
+    doc = np.array([NULL_ID if x is None else x for x in batch.column("doc_id").to_pylist()], np.int64)
+    return doc, np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64), raw
+
+
+def windows(raw: list[bytes], limit: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, place, bytes) of texts, about ``limit`` bytes at a time; a longer text comes in windows that share
+    LENGTH - 1 bytes, so that each of its strings is in one of them."""
+    held, size = [], 0
+    for i, x in enumerate(raw):
+        for at in range(0, max(1, len(x) - LENGTH + 1), limit):
+            w = x[at : at + limit + LENGTH - 1]
+            if held and size + len(w) > limit + LENGTH - 1:
+                yield held
+                held, size = [], 0
+            held.append((i, at, w))
+            size += len(w)
+    if held:
+        yield held
 
 
 def find(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of the texts: stretches that a run of steps holds twice are settled, the rest go to the bucket of their gram."""
+    """Anchors of the texts: of stretches that a run of steps holds twice all but the first are settled, the rest go to
+    the bucket of their gram."""
     held: list[list[np.ndarray]] = []
+    texts: list[bytes] = []
     size = 0
     for b in steps(batches, "text", STEP):
-        ids = np.array([NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
-        raw = [(x or "").encode("utf-8", "replace") for x in b.column("text").to_pylist()]
-        for part in _pieces(raw):
-            text = b"".join(raw[i] for i in part)
-            sizes = np.array([len(raw[i]) for i in part], np.int64)
-            size += len(text)
+        doc, tie, raw = documents(b)
+        for part in windows(raw, STEP):
+            text = b"".join(w for _, _, w in part)
+            sizes = np.array([len(w) for _, _, w in part], np.int64)
+            number, offset = np.array([i for i, _, _ in part]), np.array([at for _, at, _ in part], np.int64)
             owner = np.repeat(np.arange(len(part)), sizes)
             gram, first, last = anchors(np.frombuffer(text, np.uint8), owner)
-            if not len(gram):
-                continue
-            stretch = np.array([xxhash.xxh64_intdigest(text[s : e + LENGTH]) for s, e in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
-            start = (first - (np.cumsum(sizes) - sizes)[owner[first]]).astype(np.uint32)
-            held.append([gram, stretch, ids[part][owner[first]], start, (last - first + 1).astype(np.uint8)])
-        if size >= RUN:
-            yield batch(_settled_here(held, buckets))
-            held, size = [], 0
-    yield batch(_settled_here(held, buckets))
-
-
-def _settled_here(held: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
+            if len(gram):
+                own = owner[first]
+                start = first - (np.cumsum(sizes) - sizes)[own] + offset[own]
+                held.append([gram, doc[number[own]], tie[number[own]], start, last - first + 1, first + size])
+                texts.append(text)
+                size += len(text)
+            if size >= RUN:
+                yield batch(_settled_here(held, b"".join(texts), buckets))
+                held, texts, size = [], [], 0
+    yield batch(_settled_here(held, b"".join(texts), buckets))
+
+
+def _settled_here(held: list[list[np.ndarray]], text: bytes, buckets: int) -> list[tuple[int, int, bytes]]:
     if not held:
         return []
-    gram, stretch, doc, start, n = (np.concatenate(c) for c in zip(*held, strict=True))
-    start, n = start.astype(np.int64), n.astype(np.int64)
-    order = np.lexsort((start, doc, stretch, gram))
-    gram, stretch, doc, start, n = (c[order] for c in (gram, stretch, doc, start, n))
-    new = firsts(gram, stretch)
-    rows = dealt(SPANS, *_covered(new, doc, start, n, buckets))
-    gram, stretch, doc, start, n = (c[new] for c in (gram, stretch, doc, start, n))
+    gram, doc, tie, start, n, place = (np.concatenate(c) for c in zip(*held, strict=True))
+    keep, spans = unlike(text, gram, doc, tie, start, n, place)
+    rows = dealt(SPANS, of_doc(spans[0], spans[1], buckets), spans)
+    gram, doc, tie, start, n = (c[keep] for c in (gram, doc, tie, start, n))
     at = np.flatnonzero(firsts(gram))
-    unlike = np.diff(np.append(at, len(gram)))
-    many = np.repeat(unlike > 1, unlike)
+    size = np.diff(np.append(at, len(gram)))
+    many = np.repeat(size > 1, size)
     # stretches that surely have a rival need no bucket to say so; it is told of their gram once
-    rows += dealt(STRETCH, of_doc(doc[many], buckets), [doc[many], start[many], n[many], gram[many]])
-    told = np.where(unlike > 1, unlike, 0)
-    return rows + dealt(ANCHOR, of_gram(gram[at], buckets), [gram[at], stretch[at], doc[at], start[at], n[at], told])
+    rows += dealt(STRETCH, of_doc(doc[many], tie[many], buckets), [doc[many], tie[many], start[many], n[many], gram[many]])
+    told = np.where(size > 1, size, 0)
+    return rows + dealt(ANCHOR, of_gram(gram[at], buckets), [gram[at], doc[at], tie[at], start[at], n[at], told])
 
 
-def _pieces(raw: list[bytes]) -> Iterator[list[int]]:
-    """Texts of a step; places in a piece have to fit in 28 bits."""
-    held, size = [], 0
-    for i, x in enumerate(raw):
-        if len(x) >= 1 << 28:
-            raise ValueError("a text of 256 MB or more")
-        if held and size + len(x) >= 1 << 27:
-            yield held
-            held, size = [], 0
-        held.append(i)
-        size += len(x)
-    if held:
-        yield held
+def unlike(text: bytes, gram: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray, n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The stretches (their text is at ``place``) that equal none before them, by gram, and the spans of the others.
 
-
-def _covered(new: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Spans of the stretches that repeat the first of their kind; the same place is no repeat of itself."""
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = ~new & ((doc != doc[lead]) | (start != start[lead]))
-    spans = merged_spans(doc[again], start[again], start[again] + n[again] + LENGTH - 1)
-    return of_doc(spans[0], buckets), spans
+    A hash brings equal stretches next to each other; the bytes say whether they are equal.
+    """
+    end = place + n + LENGTH - 1
+    key = np.array([xxhash.xxh64_intdigest(text[s:e]) for s, e in zip(place.tolist(), end.tolist(), strict=True)], np.uint64)
+    order = np.lexsort((start, tie, doc, n, key, gram))
+    new = firsts(gram[order], key[order], n[order])
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    at = np.flatnonzero(~new)
+    own, first = order[at], lead[at]
+    pairs = zip(place[own].tolist(), end[own].tolist(), place[first].tolist(), end[first].tolist(), strict=True)
+    new[at] = [text[s:e] != text[s2:e2] for s, e, s2, e2 in pairs]
+    again = ~new & ((doc[order] != doc[lead]) | (tie[order] != tie[lead]) | (start[order] != start[lead]))  # a place is no repeat of itself
+    i = order[again]
+    return order[new], merged_spans(doc[i], tie[i], start[i], start[i].astype(np.int64) + n[i] + LENGTH - 1)
 
 
 def settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A bucket of grams: spans of repeated stretches, and the stretches that have a rival."""
+    """A bucket of grams: the stretches whose gram occurs again, and the grams of very many."""
     held: list[bytes] = []
     for b in batches:
         for r in b.to_pylist():
@@ -226,50 +259,51 @@ def settle(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 held.append(r["payload"])
             else:
                 yield batch([(r["bucket"], r["kind"], r["payload"])])
-    gram, stretch, doc, start, n, told = gather(ANCHOR, held)
+    gram, doc, tie, start, n, told = gather(ANCHOR, held)
     held.clear()
-    order = np.lexsort((start, doc, stretch, told > 0, gram))
-    gram, stretch, doc, start, n, told = (c[order] for c in (gram, stretch, doc, start, n, told))
+    order = np.argsort(gram, kind="stable")
+    gram, doc, tie, start, n, told = (c[order] for c in (gram, doc, tie, start, n, told))
     rows: list[tuple[int, int, bytes]] = []
     if len(gram):
-        one = told == 0
-        new = np.zeros(len(gram), bool)
-        new[one] = firsts(gram[one], stretch[one])
-        rows += dealt(SPANS, *_covered(new[one], doc[one], start[one].astype(np.int64), n[one].astype(np.int64), buckets))
         at = np.flatnonzero(firsts(gram))
-        unlike = np.add.reduceat(np.where(one, new, told).astype(np.int64), at)
-        rival = new & np.repeat(unlike > 1, np.diff(np.append(at, len(gram))))
-        rows += dealt(STRETCH, of_doc(doc[rival], buckets), [doc[rival], start[rival], n[rival], gram[rival]])
-        hot = unlike >= HOT_STRETCHES
+        total = np.add.reduceat(np.maximum(told, 1).astype(np.int64), at)
+        rival = (told == 0) & np.repeat(total > 1, np.diff(np.append(at, len(gram))))
+        rows += dealt(STRETCH, of_doc(doc[rival], tie[rival], buckets), [doc[rival], tie[rival], start[rival], n[rival], gram[rival]])
+        hot = total >= HOT_STRETCHES
         if hot.any():
-            rows.append((0, HOT, pack(HOT, [gram[at][hot], unlike[hot]])))
+            rows.append((0, HOT, pack(HOT, [gram[at][hot]])))
     yield batch(rows)
 
 
 def text_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Texts, packed by bucket of their document."""
-    ids: list[int] = []
-    raw: list[bytes] = []
+    """Texts, packed by bucket of their document; rows of one document are one text with their number."""
+    held: dict[tuple[int, int], list] = {}
     size = 0
 
     def packed() -> pa.RecordBatch:
-        doc = np.array(ids, np.int64)
-        bucket = of_doc(doc, buckets)
+        if not held:
+            return batch([])
+        doc, tie = np.array([d for d, _ in held], np.int64), np.array([t for _, t in held], np.uint64)
+        raw, many = zip(*held.values(), strict=True)
+        order, parts = parts_of(of_doc(doc, tie, buckets))
         rows = []
-        for k in np.unique(bucket).tolist():
-            at = np.flatnonzero(bucket == k).tolist()
-            rows.append((k, TEXT, pack(TEXT, [doc[at], np.array([len(raw[i]) for i in at], np.uint32)], b"".join(raw[i] for i in at))))
+        for k, s, e in parts:
+            at = order[s:e]
+            columns = [doc[at], tie[at], np.array([len(raw[i]) for i in at], np.uint32), np.array([many[i] for i in at], np.uint32)]
+            rows.append((k, TEXT, pack(TEXT, columns, b"".join(raw[i] for i in at))))
         return batch(rows)
 
     for b in steps(batches, "text", STEP):
-        ids += [NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()]
-        more = [(x or "").encode("utf-8", "replace") for x in b.column("text").to_pylist()]
-        raw += more
-        size += sum(map(len, more))
+        doc, tie, raw = documents(b)
+        for d, t, x in zip(doc.tolist(), tie.tolist(), raw, strict=True):
+            if (d, t) in held:
+                held[d, t][1] += 1
+            else:
+                held[d, t] = [x, 1]
+                size += len(x)
         if size >= RUN:
             yield packed()
-            ids.clear()
-            raw.clear()
+            held.clear()
             size = 0
     yield packed()
 
@@ -279,218 +313,195 @@ def _cut(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return text[np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
 
 
-def fetch(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A bucket of documents: the text of the stretches that have a rival, to the bucket of their gram; the strings of
-    hot grams by digest."""
+def _wanted(batches: Iterator[pa.RecordBatch], which: np.ndarray, inside: bool) -> Iterator[list[np.ndarray]]:
+    """[gram, doc, tie, start, starts, text] of the stretches of a bucket of documents whose gram is (or, unless
+    ``inside``, isn't) in ``which``."""
     held: list[bytes] = []
-    cooled: list[list[np.ndarray]] = []
-    heated: list[list[np.ndarray]] = []
-    wanted, size = None, 0
+    wanted = None
     for b in batches:
         for r in b.to_pylist():
             if r["kind"] == STRETCH:  # these come before the texts
                 held.append(r["payload"])
                 continue
             if wanted is None:
-                doc, start, n, gram = gather(STRETCH, held)
-                order = np.argsort(doc, kind="stable")
-                wanted = doc[order], start[order].astype(np.int64), n[order].astype(np.int64), gram[order]
+                doc, tie, start, n, gram = gather(STRETCH, held)
                 held.clear()
-            doc, start, n, gram = wanted
-            (ids, sizes), raw = unpack(TEXT, r["payload"])
-            low, high = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-            mine = np.flatnonzero(high > low)
-            if not len(mine):
+                mine = np.isin(gram, which) == inside
+                order = np.lexsort((tie[mine], doc[mine]))
+                doc, tie, start, n, gram = (c[mine][order] for c in (doc, tie, start, n, gram))
+                wanted, start, n = by_document(doc, tie), start.astype(np.int64), n.astype(np.int64)
+            (ids, ties, sizes, _), raw = unpack(TEXT, r["payload"])
+            sizes = sizes.astype(np.int64)
+            asked = {k: i for i, k in enumerate(zip(ids.tolist(), ties.tolist(), strict=True)) if k in wanted}
+            if not asked:
                 continue
-            each = (high - low)[mine]
-            at = np.repeat(low[mine] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
-            base = np.repeat((np.cumsum(sizes.astype(np.int64)) - sizes)[mine], each)
-            text = np.frombuffer(raw, np.uint8)
-            fits = start[at] + n[at] + LENGTH - 1 <= np.repeat(sizes[mine].astype(np.int64), each)
-            at, base = at[fits], base[fits]
-            is_hot = np.isin(gram[at], hot)
-            cool = np.flatnonzero(~is_hot)
-            if len(cool):
-                i = at[cool]
-                cut = n[i] + LENGTH - 1
-                cooled.append([gram[i], doc[i], start[i], n[i], _cut(text, base[cool] + start[i], cut)])
-                size += int(cut.sum())
-            h = np.flatnonzero(is_hot)
-            if len(h):
-                i = at[h]
-                each = n[i]
-                first = np.repeat(start[i], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-                owner, place = np.repeat(doc[i], each), np.repeat(base[h], each) + first
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + LENGTH]) for p in place.tolist()), "<u8").reshape(-1, 2)
-                heated.append([digest[:, 0], digest[:, 1], owner, first])
-                size += 28 * len(digest)
-            if size >= RUN // 2:
-                yield batch(_dealt_contexts(cooled, heated, buckets))
-                cooled, heated, size = [], [], 0
-    yield batch(_dealt_contexts(cooled, heated, buckets))
-
-
-def _dealt_contexts(cooled: list[list[np.ndarray]], heated: list[list[np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
-    rows: list[tuple[int, int, bytes]] = []
-    if cooled:
-        gram, doc, start, n, text = (np.concatenate(c) for c in zip(*cooled, strict=True))
+            low, high = np.array([wanted.pop(k) for k in asked]).T  # each document once
+            each = high - low
+            at = np.repeat(low - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+            base = np.repeat((np.cumsum(sizes) - sizes)[list(asked.values())], each)
+            yield [gram[at], doc[at], tie[at], start[at], n[at], _cut(np.frombuffer(raw, np.uint8), base + start[at], n[at] + LENGTH - 1)]
+
+
+def fetch(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bucket of documents: the text of the wanted stretches, to the bucket of their gram; hot grams are left out."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        if not held:
+            return batch([])
+        gram, doc, tie, start, n, text = (np.concatenate(c) for c in zip(*held, strict=True))
         cut = n + LENGTH - 1
         base = np.cumsum(cut) - cut
-        bucket = of_gram(gram, buckets)
-        for k in np.unique(bucket).tolist():
-            i = np.flatnonzero(bucket == k)
-            rows.append((k, CONTEXT, pack(CONTEXT, [gram[i], doc[i], start[i], n[i]], _cut(text, base[i], cut[i]).tobytes())))
-    if heated:
-        a, b, doc, start = (np.concatenate(c) for c in zip(*heated, strict=True))
-        rows += dealt(DIGEST, of_gram(a, buckets), [a, b, doc, start])
-    return rows
+        order, parts = parts_of(of_gram(gram, buckets))
+        gram, doc, tie, start, n, base, cut = (c[order] for c in (gram, doc, tie, start, n, base, cut))
+        return batch([(k, CONTEXT, pack(CONTEXT, [c[s:e] for c in (gram, doc, tie, start, n)], _cut(text, base[s:e], cut[s:e]).tobytes())) for k, s, e in parts])
+
+    for got in _wanted(batches, hot, False):
+        held.append(got)
+        size += len(got[-1])
+        if size >= RUN // 2:
+            yield packed()
+            held, size = [], 0
+    yield packed()
+
 
+def _strings(n: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place in the text of all stretches, doc, tie, start) of each string of the stretches."""
+    base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(base, n) + within, np.repeat(doc, n), np.repeat(tie, n), np.repeat(start, n) + within
 
-class BlindTrie:
-    """Suffixes that share a long prefix, ordered by a trie that knows only where they branch.
 
-    A suffix goes down by the bytes at the branches alone to some leaf, is compared with that leaf's suffix once, and
-    is put in where they first differ.
+def hot_strings(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A bucket of documents: its strings of hot grams, each once; repeats of these are settled.  A row's bucket is
+    the number of its strings."""
+    for _, doc, tie, start, n, text in _wanted(batches, hot, True):
+        at, doc, tie, start = _strings(n, doc, tie, start)
+        raw = text.tobytes()
+        for s in range(0, len(at), 1 << 20):
+            p, d, t, b = (c[s : s + (1 << 20)] for c in (at, doc, tie, start))
+            first, spans = repeated(raw, p, d, t, b)
+            rows = dealt(SPANS, of_doc(spans[0], spans[1], buckets), spans)
+            p, d, t, b = (c[first] for c in (p, d, t, b))
+            yield batch([*rows, (len(p), STRING, pack(STRING, [d, t, b], _cut(text, p, np.full(len(p), LENGTH)).tobytes()))])
+
+
+def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed strings as rows."""
+    for b in batches:
+        for x in b.column("payload").to_pylist():
+            (doc, tie, start), raw = unpack(STRING, x)
+            text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(doc), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([text, pa.array(doc), pa.array(tie.view(np.int64)), pa.array(start.astype(np.int64))], ["string", "doc", "tie", "start"])
+
+
+def ranged(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A range of strings: spans of those that are not the first of their class."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        text = b"".join(x for b in held for x in b.column("string").to_pylist())
+        doc, tie, start = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("doc", "tie", "start"))
+        spans = repeated(text, np.arange(len(doc)) * LENGTH, doc, tie.view(np.uint64), start)[1]
+        yield batch(dealt(SPANS, of_doc(spans[0], spans[1], buckets), spans))
+
+
+def sorted_classes(text: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes ``at`` of ``text`` in order of their first LENGTH bytes, and which of them differ from the one before:
+    deep-shallow sorting, all groups of a level at once.
+
+    Down to SHALLOW bytes each level splits every group by the next 8 bytes.  A group that is left there becomes a
+    blind trie, built from its root: what its members share is skipped by comparing each with one of them, the bytes
+    after the least common prefix branch, and so on in every branch; a group whose members share LENGTH bytes is a leaf.
     """
+    data = np.frombuffer(text + bytes(16), np.uint8)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    word = lambda p: eight[p].view(">u8").ravel().astype(np.uint64)
+    order = np.arange(len(at))
+    group = np.zeros(len(at), np.int64)  # where the group of a suffix begins
+    live = np.arange(len(at)) if len(at) > 1 else np.zeros(0, np.int64)
+
+    def split(key: np.ndarray) -> np.ndarray:
+        """Order the live groups by ``key``; returns what is live after that: members of groups of two or more."""
+        g = group[live]
+        o = np.lexsort((key, g))
+        order[live] = order[live][o]
+        new = firsts(g, key[o])
+        group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+        alone = new & np.append(new[1:], True)
+        return live[~alone]
+
+    for depth in range(0, SHALLOW, 8):
+        if len(live):
+            live = split(word(at[order[live]] + depth))
+    while len(live):
+        lead = firsts(group[live])
+        own, first = at[order[live]], at[order[group[live]]]
+        shared = np.full(len(live), LENGTH, np.int64)
+        todo = np.arange(len(live))
+        for depth in range(SHALLOW, LENGTH, 8):
+            differ = word(own[todo] + depth) ^ word(first[todo] + depth)
+            found = differ != 0
+            shared[todo[found]] = np.minimum(LENGTH, depth + leading_bytes(differ[found]))
+            todo = todo[~found]
+            if not len(todo):
+                break
+        branch = np.minimum.reduceat(shared, np.flatnonzero(lead))
+        branch = np.repeat(branch, np.diff(np.append(np.flatnonzero(lead), len(live))))
+        open_ = branch < LENGTH
+        live, own, branch = live[open_], own[open_], branch[open_]
+        if len(live):
+            over = np.maximum(0, branch + 8 - LENGTH).astype(np.uint64) * np.uint64(8)
+            live = split(word(own + branch) >> over)
+    new = group == np.arange(len(at))
+    return order, new
+
+
+def leading_bytes(x: np.ndarray) -> np.ndarray:
+    """Zero bytes before the first other one, of words that aren't zero."""
+    out = np.zeros(len(x), np.int64)
+    for k in (4, 2, 1):
+        low = x < np.uint64(1) << np.uint64(64 - 8 * k)
+        out += k * low
+        x = np.where(low, x << np.uint64(8 * k), x)
+    return out
 
-    def __init__(self, text: bytes, depth: int):
-        self.text, self.depth, self.root = text, depth, None
-
-    def add(self, at: int) -> None:
-        text = self.text
-        if self.root is None:
-            self.root = [at]
-            return
-        node, end = self.root, at + LENGTH
-        while isinstance(node, tuple):
-            branch = node[1]
-            node = branch.get(text[at + node[0]]) or next(iter(branch.values()))
-        own, other = text[at:end], text[node[0] : node[0] + LENGTH]
-        if own == other:
-            node.append(at)
-            return
-        low, high = self.depth, LENGTH
-        while low < high:  # the first byte that differs
-            mid = (low + high) // 2
-            low, high = (mid + 1, high) if own[low : mid + 1] == other[low : mid + 1] else (low, mid)
-        above, key, node = None, 0, self.root
-        while isinstance(node, tuple) and node[0] < low:
-            above, key = node, own[node[0]]
-            node = node[1][key]
-        if isinstance(node, tuple) and node[0] == low:
-            node[1][own[low]] = [at]
-            return
-        new = (low, {other[low]: node, own[low]: [at]})
-        if above is None:
-            self.root = new
-        else:
-            above[1][key] = new
-
-    def classes(self) -> Iterator[list[int]]:
-        """Suffixes that agree in LENGTH bytes, in order of their text."""
-        todo = [self.root]
-        while todo:
-            node = todo.pop()
-            if isinstance(node, tuple):
-                todo += [node[1][k] for k in sorted(node[1], reverse=True)]
-            elif node:
-                yield node
-
-
-def sorted_classes(text: bytes, at: np.ndarray) -> Iterator[list[int]]:
-    """The suffixes ``at`` of ``text`` in order of their first LENGTH bytes, equal ones as one class: deep-shallow sorting."""
-    data = np.frombuffer(text, np.uint8)
-
-    def word(place: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(place), np.uint64)
-        for j in range(8):
-            out = out << np.uint64(8) | data[place + j]
-        return out
-
-    def deep(group: list[int]) -> Iterator[list[int]]:
-        if len(group) == 1:
-            yield group
-            return
-        trie = BlindTrie(text, SHALLOW)
-        for p in group:
-            trie.add(p)
-        yield from trie.classes()
-
-    todo = [(at, 0)]
-    while todo:
-        group, depth = todo.pop()
-        if depth == SHALLOW:
-            yield from deep(group.tolist())
-        elif len(group) <= SMALL:
-            head = sorted((text[p + depth : p + SHALLOW], p) for p in group.tolist())
-            i = 0
-            while i < len(head):
-                j = i + 1
-                while j < len(head) and head[j][0] == head[i][0]:
-                    j += 1
-                yield from deep([p for _, p in head[i:j]])
-                i = j
-        elif len(group):
-            w = word(group + depth)
-            pivot = np.sort(w[:: max(1, len(w) // 9)])[min(4, len(w) - 1) if len(w) < 9 else 4]
-            todo += [(group[w > pivot], depth), (group[w == pivot], depth + 8), (group[w < pivot], depth)]
+
+def repeated(text: bytes, at: np.ndarray, doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The earliest suffix of each class, and the spans of the others."""
+    order, new = sorted_classes(text, at)
+    k = np.cumsum(new)
+    order = order[np.lexsort((start[order], tie[order], doc[order], k))]
+    first = order[np.flatnonzero(firsts(k))[k - 1]] if len(k) else order
+    again = (doc[order] != doc[first]) | (tie[order] != tie[first]) | (start[order] != start[first])
+    i = order[again]
+    return order[firsts(k)], merged_spans(doc[i], tie[i], start[i], start[i].astype(np.int64) + LENGTH)
 
 
 def repeats(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A bucket of contexts and digests: spans of the strings that are not the first of their class."""
-    contexts, digests = [], []
-    for b in batches:
-        for r in b.to_pylist():
-            (contexts if r["kind"] == CONTEXT else digests).append(r["payload"])
-    doc, start = [], []
-    if contexts:
-        got = [unpack(CONTEXT, p) for p in contexts]
-        contexts.clear()
-        text = b"".join(raw for _, raw in got)
-        _, owner, first, n = (np.concatenate(c) for c in zip(*(c for c, _ in got), strict=True))
-        got.clear()
-        n, first = n.astype(np.int64), first.astype(np.int64)
-        base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at, d, s = np.repeat(base, n) + within, np.repeat(owner, n), np.repeat(first, n) + within
-        h = rolling(np.frombuffer(text, np.uint8), (64, 32, 4))[at]
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True  # suffixes that have no equal needn't be sorted
-        at, d, s = at[twice], d[twice], s[twice]
-        by_place = np.argsort(at, kind="stable")
-        at, d, s = at[by_place], d[by_place], s[by_place]
-        members, sizes = [], []
-        for c in sorted_classes(text, at):
-            members += c
-            sizes.append(len(c))
-        if members:
-            i = np.searchsorted(at, np.array(members))
-            k = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((s[i], d[i], k))
-            i, k = i[order], k[order]
-            _add(doc, start, firsts(k), d[i], s[i])
-    if digests:
-        a, b2, d, s = gather(DIGEST, digests)
-        order = np.lexsort((s, d, b2, a))
-        a, b2, d, s = a[order], b2[order], d[order], s[order].astype(np.int64)
-        _add(doc, start, firsts(a, b2), d, s)
-    if doc:
-        d, s = np.concatenate(doc), np.concatenate(start)
-        spans = merged_spans(d, s, s + LENGTH)
-        yield batch(dealt(SPANS, of_doc(spans[0], buckets), spans))
-
-
-def _add(doc: list, start: list, new: np.ndarray, d: np.ndarray, s: np.ndarray) -> None:
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = (d != d[lead]) | (s != s[lead])
-    doc.append(d[again])
-    start.append(s[again])
-
-
-def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
-    """(doc_id, text, spans) of a bucket of documents; its spans come before its texts."""
+    """A bucket of stretches: spans of those that equal an earlier one, and of the suffixes of the others that do."""
+    got = [unpack(CONTEXT, x) for b in batches for x in b.column("payload").to_pylist()]
+    if not got:
+        return
+    text = b"".join(raw for _, raw in got)
+    gram, doc, tie, start, n = (np.concatenate(c) for c in zip(*(c for c, _ in got), strict=True))
+    got.clear()
+    n, start = n.astype(np.int64), start.astype(np.int64)
+    base = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+    keep, spans = unlike(text, gram, doc, tie, start, n, base)
+    at = np.flatnonzero(firsts(gram[keep]))
+    size = np.diff(np.append(at, len(keep)))
+    keep = keep[np.repeat(size > 1, size)]
+    if len(keep):
+        _, d, t, s = _strings(n[keep], doc[keep], tie[keep], start[keep])
+        within = np.arange(len(s)) - np.repeat(np.cumsum(n[keep]) - n[keep], n[keep])
+        more = repeated(text, np.repeat(base[keep], n[keep]) + within, d, t, s)[1]
+        spans = merged_spans(*(np.concatenate(c) for c in zip(spans, more, strict=True)))
+    yield batch(dealt(SPANS, of_doc(spans[0], spans[1], buckets), spans))
+
+
+def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, list[tuple[int, int]]]]:
+    """(doc_id, rows, text, spans) of a bucket of documents; its spans come before its texts."""
     held: list[bytes] = []
     spans = None
     for b in batches:
@@ -499,14 +510,14 @@ def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, lis
                 held.append(r["payload"])
                 continue
             if spans is None:
-                spans = merged_spans(*gather(SPANS, held))
+                doc, tie, start, end = merged_spans(*gather(SPANS, held))
+                spans = by_document(doc, tie)
                 held.clear()
-            doc, start, end = spans
-            (ids, sizes), raw = unpack(TEXT, r["payload"])
-            low, high = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
+            (ids, ties, sizes, many), raw = unpack(TEXT, r["payload"])
             at = 0
-            for d, n, i, j in zip(ids.tolist(), sizes.tolist(), low.tolist(), high.tolist(), strict=True):
-                yield d, raw[at : at + n], [(s, min(e, n)) for s, e in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True) if s < n]
+            for d, t, n, m in zip(ids.tolist(), ties.tolist(), sizes.tolist(), many.tolist(), strict=True):
+                i, j = spans.get((d, t), (0, 0))
+                yield d, m, raw[at : at + n], list(zip(start[i:j].tolist(), end[i:j].tolist(), strict=True))
                 at += n
 
 
@@ -520,36 +531,44 @@ def spans_and_texts(docs: DataFrame) -> DataFrame:
     texts = docs.mapInArrow(lambda it: text_rows(it, buckets), _ROWS)
     found = by_bucket(docs.mapInArrow(lambda it: find(it, buckets), _ROWS)).mapInArrow(lambda it: settle(it, buckets), _ROWS)
     found = materialize(found, "suffix-stretches")
-    # grams of the most stretches, so few that the driver can hold them whatever the input
-    counts = [unpack(HOT, r["payload"])[0] for r in found.where(F.col("kind") == HOT).select("payload").toLocalIterator()]
-    hot = np.concatenate([np.zeros(0, np.uint64), *(gram for gram, _ in counts)])
-    if len(hot) > HOT_GRAMS:
-        often = np.concatenate([n for _, n in counts]).astype(np.int64)
-        hot = hot[np.argsort(-often, kind="stable")[:HOT_GRAMS]]
-    hot = np.sort(hot)
-    wanted = found.where(F.col("kind") == STRETCH).unionByName(texts)
-    contexts = by_bucket(wanted).sortWithinPartitions("kind").mapInArrow(lambda it: fetch(it, buckets, hot), _ROWS)
-    more = materialize(by_bucket(contexts).mapInArrow(lambda it: repeats(it, buckets), _ROWS), "suffix-repeats")
+    # a gram of HOT_STRETCHES stretches takes that many of the input's: the driver gets 8 bytes for 160 KB of text at least
+    hot = [unpack(HOT, r["payload"])[0][0] for r in found.where(F.col("kind") == HOT).select("payload").toLocalIterator()]
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *hot]))
+    wanted = by_bucket(found.where(F.col("kind") == STRETCH).unionByName(texts)).sortWithinPartitions("kind")
+    contexts = wanted.mapInArrow(lambda it: fetch(it, buckets, hot), _ROWS)
+    more = by_bucket(contexts).mapInArrow(lambda it: repeats(it, buckets), _ROWS)
+    if len(hot):
+        strings = materialize(wanted.mapInArrow(lambda it: hot_strings(it, buckets, hot), _ROWS), "suffix-strings")
+        apart = strings.where(F.col("kind") == STRING)
+        ranges = -(-(apart.agg(F.sum("bucket")).first()[0] or 0) * (LENGTH + 24) // BUCKET_BYTES)
+        rows = apart.select("payload").mapInArrow(loose, "string binary, doc long, tie long, start long")
+        more = more.unionByName(rows.repartitionByRange(max(1, ranges), "string").mapInArrow(lambda it: ranged(it, buckets), _ROWS))
+        more = more.unionByName(strings.where(F.col("kind") == SPANS))
+    more = materialize(more, "suffix-repeats")
     return by_bucket(found.where(F.col("kind") == SPANS).unionByName(more).unionByName(texts)).sortWithinPartitions("kind")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document.
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row of docs(doc_id, text).
 
-    Null texts are empty; a null doc_id comes before all others; rows of equal doc_id are one document and no repeats
-    of each other, so their texts should be equal; an empty table gives an empty result.
+    A document is an id and a text.  Rows that are equal in both are one document and get equal results; rows that
+    share the id only are documents of their own, in an order that a hash of the text fixes.  A null doc_id comes
+    before all others; null texts are empty; texts may be of any length; other columns are ignored; an empty table
+    gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for d, text, spans in cut_out(batches):
+        for d, many, text, spans in cut_out(batches):
             edges = [0, *(x for s in spans for x in s), len(text)]
             kept = b"".join(text[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-            rows.append({"doc_id": None if d == NULL_ID else d, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept": kept})
-            held += len(text)
-            if held > STEP:
-                yield pa.RecordBatch.from_pylist(rows, schema=_KEPT)
-                rows, held = [], 0
+            row = {"doc_id": None if d == NULL_ID else d, "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept": kept}
+            for _ in range(many):
+                rows.append(row)
+                held += len(text)
+                if held > STEP:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_KEPT)
+                    rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_KEPT)
 
@@ -560,5 +579,6 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed"
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """The operator over ``documents``, the remaining bytes as their SHA-256; cases as in ``dedup``."""
     out = dedup(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -68,7 +68,50 @@ def test_nothing_and_repeated_rows(spark):
     rows = sx.dedup(docs(spark, [t, t, t, None], [4, 4, None, 9])).collect()
     own = brute([t], [0])[0]
     assert [(r.n_bytes, r.n_removed) for r in rows if r.doc_id is None] == [own[:2]]
-    assert all(bytes(r.kept) == b"" for r in rows if r.doc_id is not None)
+    assert len(rows) == 4 and all(bytes(r.kept) == b"" for r in rows if r.doc_id is not None)
+
+
+@pytest.mark.parametrize("other", [5, None])
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, other):
+    """In the order of their hashes, equal rows together; no text is lost."""
+    a, b, c = near(3, seed=8)
+    b = "".join(x for x in b if x not in "abc") + "q" * 150
+    ids = [1, other, other, other, other]
+    texts = [a, a, b, b, c]
+    rows = sx.dedup(docs(spark, texts, ids).repartition(3)).collect()
+    rank = lambda i, t: (-1 if i is None else i, sx.xxhash.xxh3_64_intdigest(t.encode()))
+    order = sorted({rank(i, t): t for i, t in zip(ids, texts, strict=True)}.items())
+    want = brute([t for _, t in order], list(range(len(order))))
+    want = sorted((i, *want[[k for k, _ in order].index(rank(i, t))]) for i, t in zip([-1 if i is None else i for i in ids], texts, strict=True))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in rows) == want
+    first = next(r for r in rows if r.doc_id == other and r.n_bytes == len(b.encode()))
+    assert first.n_removed < len(b.encode())
+
+
+def test_long_texts_are_cut_into_windows(monkeypatch):
+    raw = [b"x" * 5, b"", bytes(range(256)) * 40, b"y" * 300]
+    parts = list(sx.windows(raw, 1000))
+    strings = {(i, at + s, w[s : s + 100]) for p in parts for i, at, w in p for s in range(len(w) - 99)}
+    assert strings == {(i, s, x[s : s + 100]) for i, x in enumerate(raw) for s in range(len(x) - 99)}
+    assert max(sum(len(w) for _, _, w in p) for p in parts) < 1100
+
+
+def test_the_sort_tells_unlike_suffixes_apart(spark, monkeypatch):
+    """Suffixes come to the sort unfiltered: most classes of texts that share a word group are single suffixes."""
+    met = []
+    own = sx.sorted_classes
+    monkeypatch.setattr(sx, "sorted_classes", lambda text, at: met.append(own(text, at)) or met[-1])
+    shared = b"twenty-four bytes, shared" * 2
+    r = random.Random(5)
+    texts = [bytes(r.randrange(97, 123) for _ in range(90)) + shared + bytes(r.randrange(97, 123) for _ in range(90)) for _ in range(9)]
+    rows = list(sx.find(iter([sx.pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": [t.decode() for t in texts]})]), 1))
+    settled = [x for b in sx.settle(iter(rows), 1) for x in b.to_pylist()]
+    wanted = [x for x in settled if x["kind"] == sx.STRETCH]
+    packed = [x for b in sx.text_rows(iter([sx.pa.RecordBatch.from_pydict({"doc_id": list(range(9)), "text": [t.decode() for t in texts]})]), 1) for x in b.to_pylist()]
+    contexts = list(sx.fetch(iter([sx.batch([(x["bucket"], x["kind"], x["payload"]) for x in wanted + packed])]), 1, np.zeros(0, np.uint64)))
+    list(sx.repeats(iter(contexts), 1))
+    order, new = met[-1]
+    assert len(order) > 100 and new.sum() == len(order)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -77,11 +120,10 @@ def test_sorted_classes(seed):
     parts = [r.integers(97, 100, r.integers(100, 400), dtype=np.uint8).tobytes() for _ in range(6)]
     text = b"".join(parts[i] for i in r.integers(0, 6, 30))
     at = r.permutation(len(text) - sx.LENGTH)[:2000]
-    got = list(sx.sorted_classes(text, at))
-    strings = [{text[p : p + sx.LENGTH] for p in c} for c in got]
-    assert all(len(s) == 1 for s in strings)
-    flat = [next(iter(s)) for s in strings]
-    assert flat == sorted(set(flat)) and sorted(p for c in got for p in c) == sorted(at.tolist())
+    order, new = sx.sorted_classes(text, at)
+    flat = [text[p : p + sx.LENGTH] for p in at[order].tolist()]
+    assert flat == sorted(flat) and sorted(order.tolist()) == list(range(len(at)))
+    assert new.tolist() == [not i or flat[i] != flat[i - 1] for i in range(len(flat))]
 
 
 def test_equal_strings_have_equal_anchors():
