@@ -27,8 +27,8 @@ LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes that multikey quicksort orders by, in words of 8.
 SHALLOW = 32
-#: Stretches of a gram from which its strings are dealt by ranges.
-HOT_STRETCHES = 4_096
+#: Stretches of a gram (some 140 bytes each) from which its strings are dealt by ranges: strings take 30 times their space.
+HOT_STRETCHES = 1 << 15
 #: Bytes of text for a step (and a window of a longer text), for a run of steps that is packed at once, and for a bucket.
 STEP, RUN, BUCKET_BYTES = 1 << 20, 12 << 20, 24 << 20
 
