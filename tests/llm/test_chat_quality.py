@@ -57,10 +57,12 @@ def brute(text):
 
 
 def test_counts_and_verdict(spark, tmp_path):
-    texts = [*ODD_TEXTS, "a b c d e\nx\n\n x \nx\na b c d e f\n##$ |<>", "a b c d e a b c d e", "1 2 3 4 1 2 3 4 1 2 3 4 1", "plain words of a rather ordinary kind that no rule has anything against"]
+    texts = [*ODD_TEXTS, "a b c d e\nx\n\n x \nx\na b c d e f\n##$ |<>", "a b c d e a b c d e", "1 2 3 4 1 2 3 4 1 2 3 4 1", "a\r\nb \r c\r", "\n\ta\u3000 \xa0b  c\x85 \u2028d ﬁ\n", " lead  and trail \n ", "plain words of a rather ordinary kind that no rule has anything against"]
     sf = save(spark, tmp_path, documents=docs(spark, texts))
     got = {r.doc_id: r for r in quality.op3_fertility_rules(spark, sf).collect()}
-    sp = sentencepiece.SentencePieceProcessor(model_file=quality.default_model())
+    paths = quality.default_paths()
+    sp = sentencepiece.SentencePieceProcessor(model_file=paths[0])
+    many, english = (quality.byte_level(p) for p in paths[1:])
     for i, t in enumerate(texts):
         n = brute(t or "")
         r = got[i]
@@ -69,6 +71,13 @@ def test_counts_and_verdict(spark, tmp_path):
         ids = sp.encode(t or "")
         entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values()) if ids else 0
         assert r.n_tokens == len(ids) and r.token_entropy == pytest.approx(entropy, abs=1e-9)
+        n_bytes = sum(sp.IsByte(k) and sp.IdToPiece(k) not in ("<0x09>", "<0x0A>", "<0x0D>") for k in ids)
+        m, e = many(t or ""), english(t or "")
+        assert r.byte_share == pytest.approx(n_bytes / max(1, len(ids))) and r.chars_per_token == pytest.approx(len(t or "") / max(1, len(ids)))
+        assert r.single_share == pytest.approx(sum(k < 256 for k in m) / max(1, len(m))) and r.english_ratio == pytest.approx(len(m) / max(1, len(e)))
+        b = quality.BANDS[r.band]
+        why = quality.outside(b, len(ids), len(t or ""), n_bytes, entropy, len(m), sum(k < 256 for k in m), len(e))
+        assert r.rejected_by == ",".join(why) and r.kept == (not r.base_failed and not why)
     assert got[len(texts) - 1].kept
 
 
@@ -81,4 +90,38 @@ def test_stage(spark):
     d = docs(spark, ["few words", "plain words of a rather ordinary kind that no rule has anything against", None])
     out = quality.quality_stage(spark, d, "")
     assert out.columns == d.columns and [r.doc_id for r in out.collect()] == [1]
-    assert quality.fertility(docs(spark, []).drop("lang"), quality.default_model()).count() == 0
+    assert quality.fertility(docs(spark, []).drop("lang"), quality.default_paths()).count() == 0
+
+
+ENGLISH = "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. "
+GERMAN = "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geiste der Brüderlichkeit begegnen. "
+RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства."
+GREEK = "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση."
+JAPANESE = "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。"
+
+
+def test_scripts_and_bands():
+    import random
+
+    r = random.Random(0)
+    soup = lambda letters, n=300: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(n))
+    long_german = " ".join(GERMAN.split() + [w for i in range(6) for w in sorted(GERMAN.split(), key=lambda w: w[i % len(w) :])])
+    cases = [
+        (ENGLISH, "en", "en", ""), (GERMAN, "de", "de", ""), (RUSSIAN, None, "Cyrillic", ""), (GREEK, None, "Greek", ""), (JAPANESE, None, "Kana", ""),
+        (RUSSIAN, "en", "Cyrillic", ""), (ENGLISH, "xx", "Latin", ""), ("12 34", None, "Other", ""),
+        (soup("abcdefghijklmnopqrstuvwxyz"), "en", "en", "few_chars"), (soup("abcdefghijklmnopqrstuvwxyz"), None, "Latin", "singles"),
+        (soup("абвгдежзийклмнопрстуфхцчшщъыьэюя"), None, "Cyrillic", "few_chars"), ("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(200)), None, "Han", "bytes"),
+        (long_german, "en", "en", "not_english"), (ENGLISH + " ".join(sorted(ENGLISH.split() * 3, key=lambda w: w[::-1])), "de", "de", "english"), ("word " * 300, "en", "en", "entropy"),
+    ]
+    got = quality.measure([c[0] for c in cases], [c[1] for c in cases], quality.default_paths())
+    assert got["band"] == [c[2] for c in cases]
+    for (text, _, _, why), have in zip(cases, got["rejected_by"], strict=True):
+        assert (why in have.split(",")) if why else not have, (text[:40], have)
+
+
+def test_bands_reject_junk_and_keep_prose(spark):
+    """On labelled documents of the fixture that pass the base rule."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
+    got = quality.measure([r.text for r in rows], [r.lang for r in rows], quality.default_paths())
+    kept = {q: [k for r, k, b in zip(rows, got["kept"], got["base_failed"], strict=True) if r.quality == q and not b] for q in (0, 1)}
+    assert sum(kept[1]) >= 0.99 * len(kept[1]) and sum(kept[0]) <= 0.5 * len(kept[0]) and len(kept[0]) > 10
