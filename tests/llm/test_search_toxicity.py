@@ -28,6 +28,7 @@ def brute_scores(index, words):
 def test_wand_gives_all_items_above(threshold, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK", 3)
     index = dc.Index(ITEMS)
+    assert max(map(len, index.block_most)) > 1
     for _ in range(60):
         words = R.choices(VOCAB, k=40) + dc.words_of(R.choice(ITEMS)[1])[: R.randint(0, 40)]
         want = {i: s for i, s in brute_scores(index, words).items() if s >= threshold - 1e-9}
@@ -35,7 +36,10 @@ def test_wand_gives_all_items_above(threshold, monkeypatch):
         assert got == pytest.approx(want)
 
 
-def test_the_first_step_loses_nothing():
+@pytest.mark.parametrize("bounds", [1 << 22, 50])
+def test_the_first_step_loses_nothing(bounds, monkeypatch):
+    monkeypatch.setattr(dc, "BOUNDS", bounds)
+    monkeypatch.setattr(dc, "BLOCK", 4)
     index = dc.Index(ITEMS)
     passages = [R.choices(VOCAB, k=40) + dc.words_of(R.choice(ITEMS)[1])[: R.randint(0, 40)] for _ in range(200)]
     at = [(index.terms[w], p) for p, ws in enumerate(passages) for w in ws if w in index.terms]
@@ -63,11 +67,71 @@ def test_planted_items_are_found_and_nothing_else(spark, tmp_path):
     d = docs(spark, texts)
     kept = dc.decontamination_stage(spark, d, sf)
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {k for k, _ in want}
-    parts = list(dc.indexes(spark, items, most=10))
-    assert len(parts) > 1 and sorted(i for p in parts for i in p.ids) == list(range(30))
     assert dc.contaminated(docs(spark, []), items).count() == dc.contaminated(d, items.limit(0)).count() == 0
 
 
+def brute_rows(items, texts):
+    """(doc, item, score, question, answer, overlap) by definition: every passage against every unit."""
+    import math
+    from collections import Counter
+
+    parts = [(i, *dc.question_and_answer(t)) for i, t in sorted({(i, t) for i, t in items if i is not None and t is not None})]
+    parts = [p for p in parts if p[1]]
+    units = [(k, u) for k, (_, q, a) in enumerate(parts) for u in dc.units_of(q + a)]
+    df = Counter(w for _, u in units for w in set(u))
+    n, mean = len(units), sum(len(u) for _, u in units) / max(1, len(units))
+    impacts = []
+    for _, u in units:
+        tf = Counter(u)
+        x = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(u) / mean)) for w, f in tf.items()}
+        own = sum(x.values())
+        impacts.append({w: v / own for w, v in x.items()})
+    out = {}
+    for d, t in enumerate(texts):
+        ws = dc.words_of(t or "")
+        for start in range(0, max(1, len(ws) - 48), 48):
+            held = set(ws[start : start + 96])
+            for (k, _), x in zip(units, impacts, strict=True):
+                score = sum(v for w, v in x.items() if w in held)
+                if score < 0.4 - 1e-9:
+                    continue
+                i, q, a = parts[k]
+                reach = -(-len(q + a) // 96) * 96
+                near = " " + " ".join(ws[max(0, start - reach) : start + 96 + reach]) + " "
+                gs = dc.grams(q + a)
+                is_answer = [j + len(g) > len(q) for j, g in enumerate(gs)]
+                there = [f" {' '.join(g)} " in near for g in gs]
+                sides = [{g: h for g, h, s in zip(gs, there, is_answer, strict=True) if s == side} for side in (False, True)]
+                share = [sum(x.values()) / len(x) if x else 1.0 for x in sides]
+                if min(share) >= 0.5:
+                    both = sum(sum(x.values()) for x in sides) / sum(map(len, sides))
+                    out[d, k] = max(out.get((d, k), (0,)), (score, *share, both))
+    return sorted((d, parts[k][0], *(round(v, 6) for v in row)) for (d, k), row in out.items())
+
+
+@pytest.mark.parametrize("most,block", [(1 << 20, 2), (1200, 16)])
+def test_query_equals_all_scores(spark, tmp_path, monkeypatch, most, block):
+    """Whole, halved and shuffled items in texts; items longer than a passage; one index or many parts, the same rows."""
+    monkeypatch.setattr(dc, "BLOCK", block)
+    r = random.Random(most)
+    items = [*ITEMS, (50, " ".join(r.choices(VOCAB, k=230)) + ". " + " ".join(r.choices(VOCAB, k=20))), (51, "one two"), (52, ITEMS[3][1]), (53, None), (54, "")]
+    texts = list(ODD_TEXTS)
+    for _ in range(50):
+        ws = r.choices(VOCAB, k=r.randint(0, 300))
+        words = r.choice(items[:32])[1].split()
+        cut = r.choice([words, words[: len(words) // 2], words[: -len(words) // 4], words[3:], r.sample(words, len(words))])
+        p = r.randint(0, len(ws))
+        texts.append(" ".join(ws[:p] + cut + ws[p:]))
+    q, a = dc.question_and_answer(ITEMS[5][1])
+    texts += [" ".join(q), " ".join(q + ["other"] * len(a)), "one two"]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = dc.contaminated(docs(spark, texts), table, most).collect()
+    rows = sorted((x.doc_id, x.item_id, *(round(v, 6) for v in x[2:])) for x in got)
+    want = brute_rows(items, texts)
+    assert len(want) > 15 and [x[:2] for x in rows] == [x[:2] for x in want]
+    assert np.allclose([x[2:] for x in rows], [x[2:] for x in want], atol=2e-6)
+
+
 def test_question_and_answer():
     assert dc.question_and_answer("What is it?\nA thing. It is a pear.") == (["what", "is", "it", "a", "thing"], ["it", "is", "a", "pear"])
     assert dc.question_and_answer("only one") == (["only", "one"], []) and dc.question_and_answer(" .") == ([], [])
