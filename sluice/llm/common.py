@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -93,23 +94,89 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def range_shards(df: DataFrame, key: str, weight, target: int, cells: int = 4096) -> tuple[list[int], int]:
-    """Split points of an integer key so that a shard weighs about ``target``.
+class Shards:
+    """Ranges of (key, tie): a shard begins at each cut."""
 
-    One narrow scan sums ``weight`` in at most ``cells`` equal cells of the key's range, so what reaches the
-    driver is bounded and the split points depend on the rows alone, not on how they are partitioned.  Returns
-    the ascending first keys of shards 1.. and the number of shards.
+    def __init__(self, cuts: list[tuple[int, int]]):
+        self.keys, self.ties = (np.array(c, np.int64) for c in (zip(*cuts, strict=True) if cuts else ((), ())))
+        self.n = len(cuts) + 1
+
+    def of(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+        out = low.copy()
+        at = np.flatnonzero(high > low)  # the key has cuts of its own
+        for k in np.unique(key[at]):
+            mine = at[key[at] == k]
+            i, j = low[mine[0]], high[mine[0]]
+            out[mine] = i + np.searchsorted(self.ties[i:j], tie[mine], "right")
+        return out.astype(np.int32)
+
+
+_LEAST = -(1 << 63)
+
+
+def range_shards(df: DataFrame, key: str, weight, target: int, tie) -> Shards:
+    """Ranges of an integer key (null: the least) that weigh about ``target`` each, wherever the keys are.
+
+    Keys are counted in cells of their range; a cell heavier than the target is counted again in cells of its own, and
+    so on, until a cell is light or a single key.  Rows of a key that is heavier are parted by ``tie``, a hash.  The cuts
+    depend on the rows alone, not on how they are partitioned; the driver gets some cells for each shard.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return [], 1
-    width = max(1, -(-(hi - lo + 1) // cells))
-    cell = F.floor((F.col(key) - F.lit(lo)) / F.lit(width)).cast("long")
-    sums = df.where(F.col(key).isNotNull()).groupBy(cell.alias("cell")).agg(F.sum(weight).alias("w")).collect()
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("k"), tie.cast("long").alias("t"), weight.cast("long").alias("w"))
+    rows = materialize(rows, "shard-keys")
+    lo, hi, total = rows.agg(F.min("k"), F.max("k"), F.sum("w")).first()
+    light: list[tuple[int, int, int]] = []  # key, tie, weight
+    heavy = [(lo, hi - lo + 1, total)] if lo is not None and total > target else []
+    single: list[tuple[int, int]] = []
+    while heavy:
+        starts, spans = [h[0] for h in heavy], [h[1] for h in heavy]
+        widths = [max(1, -(-n // min(CELLS, 16 * -(-w // target)))) for _, n, w in heavy]
+        heavy = []
+        for i, c, w in _cells(rows, starts, spans, widths):
+            first, width = starts[i] + c * widths[i], widths[i]
+            if w <= target:
+                light.append((first, _LEAST, w))
+            elif width == 1:
+                single.append((first, w))
+            else:
+                heavy.append((first, min(width, starts[i] + spans[i] - first), w))
+        heavy.sort()
+    if single:
+        single.sort()
+        keys, parts = [k for k, _ in single], [16 * -(-w // target) for _, w in single]
+        widths = [-(-(1 << 64) // n) for n in parts]
+        light += [(keys[i], _LEAST + c * widths[i], w) for i, c, w in _cells(rows, keys, [1] * len(keys), widths, by_tie=True)]
     cuts, size = [], 0
-    for c, w in sorted((r["cell"], r["w"] or 0) for r in sums):
+    for k, t, w in sorted(light):
         if size and size + w > target:
-            cuts.append(lo + c * width)
+            cuts.append((k, t))
             size = 0
         size += w
-    return cuts, len(cuts) + 1
+    drop_table(rows)
+    return Shards(cuts)
+
+
+#: Most cells that a range of keys is counted in at once.
+CELLS = 4096
+
+
+def _cells(rows: DataFrame, starts: list[int], spans: list[int], widths: list[int], by_tie: bool = False) -> list[tuple[int, int, int]]:
+    """(range, cell, weight) of the cells that hold rows, of ranges given in ascending order."""
+    start = np.array(starts, np.int64)
+    span, width = (np.array([min(x, (1 << 64) - 1) for x in xs], np.uint64) for xs in (spans, widths))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, t, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "t", "w"))
+            i = np.searchsorted(start, k, "right") - 1
+            off = k.view(np.uint64) - start.view(np.uint64)[i]
+            inside = (i >= 0) & (off < span[i])
+            i, off, t, w = i[inside], off[inside], t[inside], w[inside]
+            cell = ((t.view(np.uint64) ^ np.uint64(1 << 63)) if by_tie else off) // width[i]
+            pair, where = np.unique(np.stack([i, cell.astype(np.int64)]), axis=1, return_inverse=True)
+            weight = np.zeros(pair.shape[1], np.int64)
+            np.add.at(weight, where.ravel(), w)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(weight)], ["i", "c", "w"])
+
+    got = rows.mapInArrow(count, "i long, c long, w long").groupBy("i", "c").agg(F.sum("w").alias("w")).collect()
+    return [tuple(r) for r in got]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import store, wordbpe
-from sluice.llm.common import materialize, range_shards, read, shared_path, steps, texts_of
+from sluice.llm.common import NULL_ID, Shards, materialize, range_shards, read, shared_path, steps, texts_of
 
 LOW = 1 << 31
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
@@ -188,53 +188,49 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def _pack(doc_ids: np.ndarray, texts: list[bytes]) -> bytes:
+def _pack(doc_ids: np.ndarray, ties: np.ndarray, texts: list[bytes]) -> bytes:
     """Documents with their ids, compressed; ids that fit are written in two bytes, low bytes first."""
     sizes = np.array([len(t) // 4 for t in texts], "<u4")
     ids = np.frombuffer(b"".join(texts), "<u4")
     wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
     body = ids.tobytes() if wide else ids.astype("<u2").tobytes()
-    raw = struct.pack("<I?", len(doc_ids), wide) + doc_ids.astype("<i8").tobytes() + sizes.tobytes() + body
+    raw = struct.pack("<I?", len(doc_ids), wide) + doc_ids.astype("<i8").tobytes() + ties.astype("<i8").tobytes() + sizes.tobytes() + body
     return struct.pack("<Q", len(raw)) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
     raw = pa.Codec("zstd").decompress(data[8:], struct.unpack_from("<Q", data)[0], asbytes=True)
     n, wide = struct.unpack_from("<I?", raw)
-    doc_ids, sizes = np.frombuffer(raw, "<i8", n, 5), np.frombuffer(raw, "<u4", n, 5 + 8 * n)
-    return doc_ids, sizes, np.frombuffer(raw, "<u4" if wide else "<u2", offset=5 + 12 * n).astype("<u4")
+    doc_ids, ties, sizes = np.frombuffer(raw, "<i8", n, 5), np.frombuffer(raw, "<i8", n, 5 + 8 * n), np.frombuffer(raw, "<u4", n, 5 + 16 * n)
+    return doc_ids, ties, sizes, np.frombuffer(raw, "<u4" if wide else "<u2", offset=5 + 20 * n).astype("<u4")
 
 
-def _tokenize(docs: DataFrame, path: str, end_id: int | None, cuts: list[int]) -> DataFrame:
+def _tokenize(docs: DataFrame, path: str, end_id: int | None, shards: Shards) -> DataFrame:
     """(shard, payload): the documents of a step that belong to a shard, packed."""
     end = b"" if end_id is None else np.uint32(end_id).tobytes()
-    bounds = np.array(cuts, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _words(path)
         for b in steps(batches, "text"):
             ids = [enc.text(t) + end for t in texts_of(b)]
             doc = np.array([NULL_ID if x is None else x for x in b.column("doc_id").to_pylist()], np.int64)
-            shard = np.searchsorted(bounds, doc, side="right")
+            tie = b.column("tie").to_numpy()
+            shard = shards.of(doc, tie)
             of = {s: np.flatnonzero(shard == s) for s in np.unique(shard)}
-            rows = [_pack(doc[i], [ids[j] for j in i]) for i in of.values()]
+            rows = [_pack(doc[i], tie[i], [ids[j] for j in i]) for i in of.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.int32()), pa.array(rows, pa.binary())], ["shard", "payload"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, payload binary")
-
-
-#: Stands for a null doc_id in files; it comes before all others.
-NULL_ID = -(1 << 63)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "shard int, payload binary")
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, out: str, path: str, end_id: int | None = END_ID) -> Table:
     """Encode every whole text and write ids in ascending doc_id order to files under ``out``.
 
-    A null text has no ids but the end id; a null doc_id sorts first; rows of equal doc_id follow by their ids.
-    An empty table gives a manifest without files.  Texts are encoded once: shards of ids wait in compressed files
+    A null text has no ids but the end id; a null doc_id sorts first; rows of equal doc_id are in the order of a hash of
+    their text, then of their ids, and may be many.  Other columns are ignored.  An empty table gives a manifest without files.  Texts are encoded once: shards of ids wait in compressed files
     while their frequencies are summed, then each is coded with the shared table.
     """
-    cuts, n = range_shards(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", F.octet_length("text") + 8, SHARD_BYTES, 1 << 16)
+    shards = range_shards(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 8, SHARD_BYTES, F.xxhash64("text"))
     raw = f"{out}/raw"
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,15 +244,18 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, path: str, end_id:
         got = [_unpack(p) for p in payloads]
         payloads.clear()
         doc = np.concatenate([g[0] for g in got])
-        sizes = np.concatenate([g[1] for g in got]).astype(np.int64)
-        ids = np.concatenate([g[2] for g in got])
+        tie = np.concatenate([g[1] for g in got])
+        sizes = np.concatenate([g[2] for g in got]).astype(np.int64)
+        ids = np.concatenate([g[3] for g in got])
         first = np.cumsum(sizes) - sizes
         piece = lambda i: ids[first[i] : first[i] + sizes[i]]
-        order = np.argsort(doc, kind="stable")
-        ties = doc[order][1:] == doc[order][:-1]
-        if ties.any():
-            order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], piece(i).tolist())))
-        data = _pack(doc[order], [piece(i).tobytes() for i in order])
+        order = np.lexsort((tie, doc))
+        same = np.append(False, (doc[order][1:] == doc[order][:-1]) & (tie[order][1:] == tie[order][:-1]))
+        if same.any():  # mostly equal texts
+            ends = np.append(np.flatnonzero(~same), len(order))
+            for s, e in zip(ends.tolist(), ends[1:].tolist(), strict=False):
+                order[s:e] = sorted(order[s:e].tolist(), key=lambda i: piece(i).tobytes()) if e - s > 1 else order[s:e]
+        data = _pack(doc[order], tie[order], [piece(i).tobytes() for i in order])
         row = parts.write(f"shard-{shard:06d}.ids", data, shard, 0, len(doc))
         often = np.bincount(ids)
         used = np.flatnonzero(often)
@@ -264,7 +263,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, path: str, end_id:
         none = [pa.nulls(len(used), f.type) for f in store.ARROW]
         yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array(often[used], pa.int64())], schema=_COUNTED_ARROW)
 
-    shuffled = _tokenize(docs, path, end_id, cuts).repartitionById(n, F.col("shard"))
+    shuffled = _tokenize(docs, path, end_id, shards).repartitionById(shards.n, F.col("shard"))
     counted = materialize(shuffled.mapInArrow(gather, _COUNTED), "ids-counted")
     often = counted.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(max((r["id"] for r in often), default=0) + 1, np.int64)
@@ -277,7 +276,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, out: str, path: str, end_id:
         coded, t = store.Attempt(out), Table(shared.value)
         for b in batches:
             for r in b.to_pylist():
-                doc, sizes, ids = _unpack(store.load(raw, r["temp"], r["sha256"]))
+                doc, _, sizes, ids = _unpack(store.load(raw, r["temp"], r["sha256"]))
                 data = encode_file(doc, sizes, ids, t)
                 yield store.manifest_batch([coded.write(f"ids-{r['shard']:06d}.rans", data, r["shard"], 0, len(ids))])
 
@@ -331,7 +330,48 @@ def read_ids(spark: SparkSession, out: str, digest_only: bool = False) -> DataFr
     return store.spread(files).mapInArrow(decode, schema)
 
 
+def decode_part(data: bytes, table: Table, begin: int, end: int) -> np.ndarray:
+    """Ids ``begin`` to ``end`` of a file: of the blocks that hold some, from the last checkpoint before the first of
+    them to the next after the last."""
+    _, n_blocks, _, _, n_dir = _FILE.unpack_from(data)
+    sizes = np.frombuffer(data, "<u4", n_blocks, _FILE.size).astype(np.int64)
+    base = _FILE.size + 4 * n_blocks + n_dir
+    starts = base + np.cumsum(sizes) - sizes
+    out = []
+    for k in range(begin // BLOCK, -(-end // BLOCK) if end > begin else 0):
+        if k >= n_blocks:
+            break
+        block = data[starts[k] : starts[k] + sizes[k]]
+        _, n, lanes, _, every, n_marks, _, _ = _BLOCK.unpack_from(block)
+        span = every * lanes  # ids between checkpoints
+        low, high = max(0, begin - k * BLOCK), min(n, end - k * BLOCK)
+        first, last = low // span, -(-high // span)
+        ids = decode_block(block, table, first, None if last >= n_marks else last)
+        out.append(ids[low - first * span : high - first * span])
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def read_span(spark: SparkSession, out: str, start: int, n: int) -> DataFrame:
+    """(start, ids) of ids ``start`` to ``start + n`` of all files, a row for each file that holds some; only the blocks
+    and checkpoints between them are decoded."""
+    shared = spark.sparkContext.broadcast(read_table(out).freq.astype(np.uint32))
+    before = F.sum("records").over(Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1))
+    files = store.read_manifest(spark, out).select("name", "sha256", "records", F.coalesce(before, F.lit(0)).alias("base"))
+    files = files.where((F.col("base") < start + n) & (F.col("base") + F.col("records") > start))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Table(shared.value)
+        for b in batches:
+            for r in b.to_pylist():
+                begin, end = max(0, start - r["base"]), min(r["records"], start + n - r["base"])
+                ids = decode_part(store.load(out, r["name"], r["sha256"]), t, begin, end)
+                yield pa.RecordBatch.from_pydict({"start": [r["base"] + begin], "ids": pa.array([ids.tolist()], pa.list_(pa.int32()))})
+
+    return store.spread(files).mapInArrow(decode, "start long, ids array<int>")
+
+
 def op6_rans_ids(spark, sf_dir: str) -> DataFrame:
+    """The operator over ``documents``, with files under the shared folder; cases as in ``write_ids``."""
     out = shared_path(spark, "rans")
     write_ids(spark, read(spark, sf_dir, "documents"), out, wordbpe.default_path())
     return read_ids(spark, out, digest_only=True)

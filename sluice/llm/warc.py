@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import store
-from sluice.llm.common import materialize, range_shards, read, shared_path, steps
+from sluice.llm.common import NULL_ID, materialize, range_shards, read, shared_path, steps
 
 #: Raw bytes of pages that a shard is cut for, and the compressed size at which a file is closed.
 SHARD_BYTES, ROLL_BYTES, LEVEL = 64 << 20, 16 << 20, 6
@@ -97,14 +97,15 @@ def write_warc(
     """Write pages(page_id, url, html) under ``out`` and return the manifest.
 
     A null html is an empty payload; a null page_id sorts first and is never revisited; rows of equal page_id and
-    payload are equal records; other columns are ignored; an empty table gives a manifest without files.
+    payload are equal records, those of unlike payloads are in order of digest; other columns are ignored; an empty table gives a manifest without files.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    cuts, n = range_shards(pages, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + 512, shard_bytes, 1 << 16)
-    bounds = np.array(cuts, np.int64)
+    sha1 = F.sha1(F.coalesce("html", F.lit("")))
+    cuts = range_shards(pages, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + 512, shard_bytes, F.conv(F.substring(sha1, 1, 15), 16, 10))
 
-    def shards(ids: pa.Array) -> np.ndarray:
-        return np.searchsorted(bounds, np.array([-(1 << 63) if x is None else x for x in ids.to_pylist()], np.int64), side="right").astype(np.int32)
+    def shards(ids: pa.Array, digests: list[str]) -> np.ndarray:
+        keys = np.array([NULL_ID if x is None else x for x in ids.to_pylist()], np.int64)
+        return cuts.of(keys, np.array([int(x[:15], 16) for x in digests], np.int64))  # in order of (page, digest)
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "html"):
@@ -116,7 +117,7 @@ def write_warc(
                 members.append(response(page, url, payload, digest[-1], level))
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards(b.column("page_id"))), b.column("page_id"), pa.array(digest), pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(size, pa.int64()), b.column("url"), pa.array(members, pa.binary())],
+                [pa.array(shards(b.column("page_id"), digest)), b.column("page_id"), pa.array(digest), pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(size, pa.int64()), b.column("url"), pa.array(members, pa.binary())],
                 ["shard", "page_id", "digest", "kind", "refers_to", "size", "url", "member"],
             )
 
@@ -124,7 +125,7 @@ def write_warc(
         for b in batches:
             k = b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards(b.column("page_id"))), b.column("page_id"), b.column("digest"), pa.array([0] * k, pa.int32()), b.column("refers_to"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary())],
+                [pa.array(shards(b.column("page_id"), b.column("digest").to_pylist())), b.column("page_id"), b.column("digest"), pa.array([0] * k, pa.int32()), b.column("refers_to"), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary())],
                 ["shard", "page_id", "digest", "kind", "refers_to", "size", "url", "member"],
             )
 
@@ -158,7 +159,7 @@ def write_warc(
             yield store.manifest_batch(done)
 
     rows = pages.mapInArrow(compress, _ROWS).unionByName(revisits(pages, min_revisit_bytes).mapInArrow(place, _ROWS))
-    ordered = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("page_id", "digest", "kind", "url")
+    ordered = rows.repartitionById(cuts.n, F.col("shard")).sortWithinPartitions("page_id", "digest", "kind", "url")
     return store.commit(ordered.mapInArrow(write, store.MANIFEST), out)
 
 
@@ -215,6 +216,7 @@ def read_warc(spark: SparkSession, out: str, payloads: bool = True) -> DataFrame
 
 
 def op8_warc_shards(spark, sf_dir: str) -> DataFrame:
+    """The operator over ``pages``, with files under the shared folder; cases as in ``write_warc``."""
     out = shared_path(spark, "warc")
     write_warc(spark, read(spark, sf_dir, "pages"), out)
     return read_warc(spark, out, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

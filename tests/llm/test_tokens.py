@@ -127,3 +127,46 @@ def test_ids_files_of_ties_and_nothing(spark):
     out = shared_path(spark, "rans")
     rans.write_ids(spark, docs(spark, []), out, PATH)
     assert rans.read_ids(spark, out).count() == 0
+
+
+def test_shards_follow_weight_wherever_the_keys_are(spark):
+    from pyspark.sql import functions as F
+
+    from sluice.llm.common import range_shards
+
+    def cut(keys, parts=3):
+        df = spark.createDataFrame([(k, f"text {i}", 100) for i, k in enumerate(keys)], "k long, text string, w long").repartition(parts)
+        tie = F.xxhash64("text")
+        shards = range_shards(df, "k", F.col("w"), 5000, tie)
+        rows = df.select(F.coalesce("k", F.lit(-(1 << 63))).alias("k"), tie.alias("t")).collect()
+        of = shards.of(np.array([r.k for r in rows], np.int64), np.array([r.t for r in rows], np.int64))
+        placed = sorted(zip([(r.k, r.t) for r in rows], of.tolist(), strict=True))
+        assert [s for _, s in placed] == sorted(s for _, s in placed)  # shards are ranges of (key, tie)
+        return shards, np.bincount(of, minlength=shards.n)
+
+    plain, sizes = cut(range(1000))
+    assert plain.n >= 20 and sizes.max() <= 50
+    far, sizes = cut([*range(1000), 1 << 60, -(1 << 62)], 5)
+    assert far.n >= plain.n and sizes.max() <= 50 and far.keys.tolist() == cut([-(1 << 62), *range(1000), 1 << 60], 1)[0].keys.tolist()
+    hot, sizes = cut([None] * 500 + [7] * 400 + [*range(100)])
+    assert hot.n >= 20 and sizes.max() <= 50
+    assert cut([])[0].n == cut([3])[0].n == 1
+
+
+@pytest.mark.parametrize("block", [1 << 20, 5000])
+def test_spans_are_read_from_checkpoints(spark, monkeypatch, block):
+    monkeypatch.setattr(rans, "SHARD_BYTES", 40_000)
+    monkeypatch.setattr(rans, "BLOCK", block)
+    monkeypatch.setattr(rans, "CHECK_STEPS", 4)
+    d = read(spark, "/root/testdata/sf0.001", "documents")
+    out = shared_path(spark, "rans")
+    rans.write_ids(spark, d, out, PATH)
+    whole = [i for r in sorted(rans.read_ids(spark, out).collect(), key=lambda r: r.start) for i in r.ids]
+    for start, n in ((0, 10), (1234, 20_000), (len(whole) - 5, 100), (7, 0)):
+        got = sorted(rans.read_span(spark, out, start, n).collect(), key=lambda r: r.start)
+        assert [i for r in got for i in r.ids] == whole[start : start + n]
+    table = rans.Table.scaled(np.bincount([1, 2, 3]))
+    ids = np.random.default_rng(1).integers(1, 4, 60_000)
+    data = rans.encode_file(np.array([1]), np.array([60_000]), ids, table)
+    for begin, end in ((0, 60_000), (4_999, 5_001), (33_000, 33_001), (59_000, 60_000), (5, 5)):
+        assert (rans.decode_part(data, table, begin, end) == ids[begin:end]).all()
