@@ -68,7 +68,10 @@ def most_frequent(counts: DataFrame, most: int) -> list:
 
 
 def build_lexicon(docs: DataFrame, path: str, most: int = LEXICON_WORDS) -> str:
-    """Compile the ``most`` frequent words and hand the file to the executors; returns its name there."""
+    """Compile the ``most`` frequent words and hand the file to the executors; returns its name there.
+
+    Null texts have no words; words beyond WORD_BYTES are left to exact merges; of an empty table the lexicon is empty.
+    """
     bpe = wordbpe.load(path)
     top = most_frequent(word_counts(docs), most)
     entries = {k: bpe.encode_word(r["word"]) for r in top if 0 < len(k := r["word"].encode("utf-8", "replace")) <= WORD_BYTES}
@@ -194,7 +197,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, name: str | None) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of the decimal ids and of the decoded text."""
+    """doc_id, n_tokens and SHA-256 of the decimal ids and of the decoded text.
+
+    A null text counts as empty; null ids and repeated rows give rows of their own; other columns are ignored; texts of
+    any length are encoded whole; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, name, "digest")
@@ -211,11 +218,13 @@ def digests(docs: DataFrame, path: str, name: str | None) -> DataFrame:
 
 
 def op1_bpe_transducer(spark, sf_dir: str) -> DataFrame:
+    """The operator over ``documents``; cases as in ``digests``."""
     docs = read(spark, sf_dir, "documents")
     path = wordbpe.default_path()
     return digests(docs, path, build_lexicon(docs, path))
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with n_tokens and ids in place of text; cases as in ``encode``."""
     path = wordbpe.default_path()
     return encode(docs, path, build_lexicon(docs, path))

@@ -320,7 +320,7 @@ def op9_bm25_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item, with their columns of any name; the search takes place in the scan, so nothing is
+    """Documents that hold no item, with all their columns; the search takes place in the scan, so nothing is
     joined.  Null and empty texts, null ids and repeated rows stay; with no item all stay."""
     parts = build(spark, read(spark, sf_dir, "benchmark"))
 

@@ -3,7 +3,8 @@
 Equal lines are one node, known by a 128-bit hash.  Distinct lines get a signature of bin minima over their
 character 8-grams (each line has its own shingles hashed once; short lines get a minimum per bin function instead),
 which bands cut into keys.  Keys go to buckets in packed form; lines that share a key are fetched, compared by exact
-Jaccard similarity and linked; components of links keep their first line, by doc_id and line number.
+Jaccard similarity and linked; components of links keep their first line, by doc_id and line number.  A document is an
+id and a text: rows that share the id only are told apart, and put in order, by a 64-bit hash of the text.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from sluice.llm.common import materialize, read, steps, texts_of
+from sluice.llm.common import NULL_ID, columns, fresh, materialize, read, steps, texts_of
 from sluice.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -35,10 +37,13 @@ BLOCK_LINES, BLOCK_CHARS, KEPT_SHINGLES = 1_500, 1 << 19, 3_000_000
 PACKED_KEYS = 1 << 18
 #: Lines of a group that are compared in one task; a larger group is dealt as tiles of block pairs.
 TILE_LINES = 2_048
+#: Lines of a group from which it needn't meet the other groups of its leader in one task; tasks it may go to then.
+APART_LINES, APART = 256, 4
+#: Bytes of packed keys of a bucket, and of one line's.
+BUCKET_BYTES, LINE_BYTES = 64 << 20, 13 * BANDS
 #: Candidate lines whose hashes are handed to the scan as a filter (8 bytes each); beyond it the join alone finds them.
 FILTER_LINES = 1 << 21
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-NULL_ID = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,20 +156,26 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc_id, line) of every line."""
+    """(h1, h2, doc_id, tie, line) of every line; a null doc_id is the least long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            doc, no, h = [], [], []
-            for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
+            doc, tie, no, h = [], [], [], []
+            for d, k, t in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), texts_of(b), strict=True):
                 for i, s in lines_of(t):
-                    doc.append(NULL_ID if d is None else d)
+                    doc.append(d)
+                    tie.append(k)
                     no.append(i)
                     h.append(xxhash.xxh128_digest(s.encode("utf-8", "surrogatepass")))
             both = np.frombuffer(b"".join(h), ">i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.array(doc, pa.int64()), pa.array(no, pa.int32())], ["h1", "h2", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64)), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(no, pa.int32())], ["h1", "h2", "doc_id", "tie", "line"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long, line int")
+    return docs.select(*identity("doc_id", "tie"), "text").mapInArrow(run, "h1 long, h2 long, doc_id long, tie long, line int")
+
+
+def identity(doc: str, tie: str) -> list[Column]:
+    """What tells documents apart, under these names."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(doc), F.xxhash64("text").alias(tie)]
 
 
 def _distinct_lines(texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -362,17 +373,19 @@ def _linked(rows: list[dict], judge: Judge) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"a": node(rows[i]), "b": node(rows[k])} for i, k in edges], schema=_EDGE)
 
 
-def links(docs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, n_lines: int = 0) -> DataFrame:
     """Edges (a, b) between distinct lines, known as struct<h1, h2>, of exact similarity 0.8 or more."""
     spark = docs.sparkSession
-    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_lines * LINE_BYTES // BUCKET_BYTES))
     groups = materialize(candidates(docs, buckets), "line-groups")
     texts = materialize(_texts(docs, groups.select("h1").distinct()), "line-texts")
-    sizes = materialize(groups.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(TILE_LINES)).cast("int").alias("t")).where("t > 1"), "line-sizes")
-    member = groups.join(texts, "h1").join(sizes, "gid", "left").withColumn("t", F.coalesce("t", F.lit(1)))
+    sizes = groups.groupBy("gid").agg(F.count("*").alias("n")).where(F.col("n") > APART_LINES)
+    sizes = materialize(sizes.select("gid", F.ceil(F.col("n") / F.lit(TILE_LINES)).cast("int").alias("t")), "line-sizes")
+    member = groups.join(texts, "h1").join(sizes, "gid", "left")
+    member = member.withColumn("apart", F.when(F.col("t").isNotNull(), F.pmod("gid", F.lit(APART))).otherwise(0).cast("int")).withColumn("t", F.coalesce("t", F.lit(1)))
     own = F.pmod(F.col("h1"), F.col("t")).cast("int")
     tiled = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).select(
-        "lead", "gid", F.least(own, F.col("o")).alias("i"), F.greatest(own, F.col("o")).alias("j"), "h1", "h2", "text"
+        "lead", "apart", "gid", F.least(own, F.col("o")).alias("i"), F.greatest(own, F.col("o")).alias("j"), "h1", "h2", "text"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +402,7 @@ def links(docs: DataFrame) -> DataFrame:
         if held:
             yield _linked(held, judge)
 
-    dealt = tiled.repartition("lead", "i", "j").sortWithinPartitions("lead", "gid", "i", "j", "text")
+    dealt = tiled.repartition("lead", "apart", "i", "j").sortWithinPartitions("lead", "apart", "gid", "i", "j", "text")
     return dealt.mapInArrow(run, "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>")
 
 
@@ -398,15 +411,16 @@ _EDGE = pa.schema([("a", _NODE), ("b", _NODE)])
 
 
 def removed_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """(doc_id, line) of every line that an earlier line of its component stands for.
+    """(doc_id, tie, line) of every line that an earlier line of its component stands for.
 
-    Earlier is by (doc_id, line number), a null doc_id first (as the least long).  Blank lines are no lines and are
-    never removed; null texts have none; rows of equal doc_id are one document; an empty table gives nothing.
+    Earlier is by (doc_id, hash of the text, line number), a null doc_id first (as the least long).  Blank lines are no
+    lines and are never removed; null texts have none.  Rows that are equal in id and text are one document and lose the
+    same lines; rows that share the id only are documents of their own.  An empty table gives nothing.
     """
     seen = materialize(occurrences(docs), "lines") if seen is None else seen
-    ref = F.struct("doc_id", "line")
+    ref = F.struct("doc_id", "tie", "line")
     reps = materialize(seen.groupBy("h1", "h2").agg(F.min(ref).alias("ref"), F.max(ref).alias("last")), "line-reps")
-    parts = components(links(docs)).select("component", F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"))
+    parts = components(links(docs, seen.count())).select("component", F.col("node.h1").alias("h1"), F.col("node.h2").alias("h2"))
     parts = parts.join(reps.select("h1", "h2", "ref"), ["h1", "h2"])
     parts = materialize(parts, "line-parts")
     first = materialize(parts.groupBy("component").agg(F.min("ref").alias("first")), "line-first")
@@ -414,27 +428,27 @@ def removed_lines(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     # what has one occurrence and no similar line is kept and needs no join
     keep = reps.join(fuzzy, ["h1", "h2"], "left").where("first IS NOT NULL OR ref <> last").select("h1", "h2", F.coalesce("first", "ref").alias("keep"))
     keep = materialize(keep, "line-keep")
-    return seen.join(keep, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keep")).select("doc_id", "line").distinct()
+    return seen.join(keep, ["h1", "h2"]).where(ref != F.col("keep")).select("doc_id", "tie", "line").distinct()
 
 
 def _per_document(docs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    gone = removed_lines(docs, seen).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("_gone"))
-    return materialize(gone.withColumnRenamed("doc_id", "_of"), "line-gone")
+    """(doc_id, tie, gone) of the documents that lose lines."""
+    return materialize(removed_lines(docs, seen).groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list("line")).alias("gone")), "line-gone")
 
 
 def op7_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed and the numbers of the removed lines, ascending."""
+    """doc_id, n_lines, n_removed and the numbers of the removed lines, ascending; cases as in ``removed_lines``."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(occurrences(docs), "lines")
     gone = _per_document(docs, seen)
-    lines = seen.groupBy(F.col("doc_id").alias("_of")).agg(F.countDistinct("line").alias("n"))
-    ids = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_of"))
+    lines = seen.groupBy("doc_id", "tie").agg(F.countDistinct("line").alias("n"))
+    ids = docs.select(*identity("doc_id", "tie"))
     none = F.array().cast("array<int>")
-    return ids.join(lines, "_of", "left").join(gone, "_of", "left").select(
-        "doc_id",
+    return ids.join(lines, ["doc_id", "tie"], "left").join(gone, ["doc_id", "tie"], "left").select(
+        F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_join(F.coalesce("_gone", none).cast("array<string>"), ",").alias("removed_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join(F.coalesce("gone", none).cast("array<string>"), ",").alias("removed_lines"),
     )
 
 
@@ -444,21 +458,24 @@ def without_lines(text: str, gone: list[int]) -> str:
 
 
 def lines_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their removed lines; n_chars follows, and a document that loses every line goes."""
-    gone = _per_document(docs)
+    """Documents without their removed lines; n_chars follows (where it is a whole number), and a document that loses
+    every line goes.  Null and blank texts stay as they are; columns whose names clash with its own pass through; else cases as in ``removed_lines``."""
     names = docs.columns
-    joined = docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_of"], "left").select(*(docs[c] for c in names), "_gone")
+    doc, tie, lost = (fresh(names, x) for x in ("line_doc", "line_tie", "line_gone"))
+    gone = _per_document(docs).toDF(doc, tie, lost)
+    joined = docs.select(*columns(docs), *identity(doc, tie)).join(gone, [doc, tie], "left").select(*columns(docs), lost)
+    counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in steps(batches, "text"):
-            gone, texts, keep = b.column("_gone").to_pylist(), b.column("text").to_pylist(), []
+            gone, texts, keep = b.column(lost).to_pylist(), b.column("text").to_pylist(), []
             for i, g in enumerate(gone):
                 if g:
                     texts[i] = without_lines(texts[i], g)
                 keep.append(not g or bool(texts[i].strip(SPACES)))
             cols = {c: b.column(c) for c in names}
             cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
+            if counted:
                 own = cols["n_chars"].to_pylist()
                 cols["n_chars"] = pa.array([len(t) if g else n for t, g, n in zip(texts, gone, own, strict=True)], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names).filter(pa.array(keep, pa.bool_()))

@@ -18,13 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialize, read, steps, texts_of
+from sluice.llm.common import NULL_ID, columns, fresh, materialize, read, steps, texts_of
 from sluice.llm.components import Forest, components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Points a shard is cut for, points of a tile, points of a leaf, and the sample that the shards' tree is made of.
-SHARD_POINTS, TILE_POINTS, LEAF_POINTS, SAMPLE = 32_768, 131_072, 384, 8_192
+#: Points a shard is cut for, points of a tile, points of a leaf, and the sample that the shards' tree is made of: so many
+#: points at least, and so many for each shard (8 bytes each on the driver).
+SHARD_POINTS, TILE_POINTS, LEAF_POINTS, SAMPLE, SHARD_SAMPLE = 32_768, 131_072, 384, 8_192, 32
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -126,19 +127,19 @@ def near_links(points: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """distinct(fp, rep) -> edges (a, b) between reps that connect all fingerprints within the radius."""
+    """distinct(fp) -> edges (a, b) between fingerprints that connect all within the radius."""
     spark = distinct.sparkSession
     n = distinct.count()
     levels = max(0, int(np.ceil(np.log2(max(1, n) / SHARD_POINTS))))
-    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, SHARD_SAMPLE * n // SHARD_POINTS)).select("fp").collect()
     tree, leaves = number(plant(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), levels, radius))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf, at = deal(tree, b.column("fp").to_numpy().view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *(b.column(c).take(pa.array(at)) for c in ("fp", "rep"))], ["leaf", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("fp").take(pa.array(at))], ["leaf", "fp"])
 
-    routed = materialize(distinct.select("fp", "rep").mapInArrow(route, "leaf int, fp long, rep long"), "simhash-shards")
+    routed = materialize(distinct.select("fp").mapInArrow(route, "leaf int, fp long"), "simhash-shards")
     sizes = {r["leaf"]: r["count"] for r in routed.groupBy("leaf").count().collect()}  # a row per shard
     blocks = np.array([max(1, -(-sizes.get(i, 0) // TILE_POINTS)) for i in range(leaves)], np.int64)
     first = np.cumsum(blocks * (blocks + 1) // 2) - blocks * (blocks + 1) // 2
@@ -153,44 +154,67 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             other = np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
             i, j = np.minimum(own[at], other), np.maximum(own[at], other)
             task = first[leaf[at]] + j * (j + 1) // 2 + i
-            yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), *(b.column(c).take(pa.array(at)) for c in ("fp", "rep"))], ["task", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(task.astype(np.int32)), b.column("fp").take(pa.array(at))], ["task", "fp"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column("fp").to_numpy(), b.column("rep").to_numpy()) for b in batches]
+        got = [b.column("fp").to_numpy() for b in batches]
         if not got:
             return
-        fp, rep = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(rep, kind="stable")
-        fp, rep = fp[order], rep[order]
+        fp = np.sort(np.concatenate(got))
         root = near_links(fp.view(np.uint64), radius)
         linked = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[root[linked]])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["a", "b"])
 
-    return routed.mapInArrow(tile, "task int, fp long, rep long").repartitionById(tasks, F.col("task")).mapInArrow(search, "a long, b long")
+    return routed.mapInArrow(tile, "task int, fp long").repartitionById(tasks, F.col("task")).mapInArrow(search, "a long, b long")
+
+
+def groups(fps: DataFrame, least, radius: int = RADIUS) -> DataFrame:
+    """(fp, least) of fps(fp, ...): the least ``least`` of all rows whose fingerprints are reachable from fp."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
+    parts = components(links(distinct, radius))
+    parts = materialize(distinct.join(parts, distinct["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least"), "simhash-parts")
+    return materialize(parts.select("fp", "part").join(parts.groupBy("part").agg(F.min("least").alias("least")), "part").select("fp", "least"), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id of every document: the least doc_id reachable over links of at most ``radius`` bits.
+    """doc_id, fp, component_id of every row: the least doc_id reachable over links of at most ``radius`` bits.
 
     Null and empty texts have fingerprint zero and link like others; texts of equal fingerprint are one point, so
     copies are never paired with each other; a null doc_id stands for no document and keeps a null component;
-    repeated rows stay; an empty table gives an empty result.
+    repeated rows stay, and rows that share an id but not a text have groups of their own; an empty table gives an
+    empty result.
     """
     fps = materialize(fingerprints(docs), "simhash")
-    distinct = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    parts = components(links(distinct, radius))
-    reps = materialize(
-        distinct.join(parts, distinct["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component")), "simhash-components"
-    )
-    return fps.join(reps, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    least = groups(fps.where("doc_id IS NOT NULL"), F.col("doc_id"), radius)
+    return fps.join(least, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("least")).alias("component_id"))
 
 
 def op10_simhash_vptree(spark, sf_dir: str) -> DataFrame:
+    """The operator over ``documents``; cases as in ``near_duplicates``."""
     out = near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one of least doc_id (rows without an id stay)."""
-    first = near_duplicates(docs).where("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
+    """One row of each component stays: that of the least doc_id, of equal ids that of the least hash of its text.
+
+    A null doc_id is the least; of rows that are equal in id and text one stays; rows that share the id only are
+    documents of their own; null and empty texts are one group; columns whose names clash with its own pass through; an empty table gives none.
+    """
+    names = docs.columns
+    doc, tie = fresh(names, "near_doc"), fresh(names, "near_tie")
+    own = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(doc), F.xxhash64("text").alias(tie)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in steps(batches, "text"):
+            fp = np.array([fingerprint(t) for t in texts_of(b)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("tie"), pa.array(fp.view(np.int64))], ["doc", "tie", "fp"])
+
+    fps = materialize(docs.select(own[0].alias("doc"), own[1].alias("tie"), "text").mapInArrow(run, "doc long, tie long, fp long"), "simhash")
+    ref = F.struct("doc", "tie")
+    first = fps.join(groups(fps, ref), "fp").where(ref == F.col("least")).groupBy("doc", "tie").agg(F.count("*").alias("n"))
+    first = materialize(first, "simhash-first")
+    kept = docs.select(*columns(docs), *own).join(first.select(F.col("doc").alias(doc), F.col("tie").alias(tie)), [doc, tie], "left_semi")
+    if first.where("n > 1").limit(1).count():  # texts are shuffled only where rows are repeated
+        kept = kept.dropDuplicates([doc, tie])
+    return kept.select(*columns(docs))

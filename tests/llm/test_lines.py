@@ -96,7 +96,7 @@ def test_repeated_words_on_both_sides_of_the_kinds_share_keys(spark, word, few,
     alike = lines.similar(lines.shingles(a), lines.shingles(b))
     k, o = lines.band_keys([a, "another line", b])
     assert not alike or set(k[o == 0]) & set(k[o == 2])
-    assert {tuple(r) for r in lines.removed_lines(docs(spark, [a, "another line", b])).collect()} == ({(2, 0)} if alike else set())
+    assert {(r.doc_id, r.line) for r in lines.removed_lines(docs(spark, [a, "another line", b])).collect()} == ({(2, 0)} if alike else set())
 
 
 def test_kinds_follow_distinct_shingles():
@@ -123,3 +123,40 @@ def test_stage(spark):
     assert out == {5: (f"{long}\n\nsecond", len(long) + 8), 6: ("third é", 7), 8: ("", 0), None: (None, 0)}
     assert lines.removed_lines(docs(spark, [])).count() == 0
     assert lines.lines_stage(spark, docs(spark, []), "").count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    one, two, three = ("a line of its own that no other text has, number " + w for w in ("one", "two and more of it", "three, which is not alike at all"))
+    rows = [(1, one), (5, one), (5, f"{two}\nsecond line, unlike"), (5, f"{two}\nsecond line, unlike"), (None, three), (None, f"{two}?\n{three}")]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = sorted((r.doc_id or 0, r.text) for r in lines.lines_stage(spark, d.repartition(3), "").collect())
+    text = sum((t.split("\n") for _, t in out), [])
+    # nothing is lost but what stands elsewhere; equal rows are one document and keep the same
+    assert (1, one) in out and not any(i == 5 and one in t for i, t in out)
+    assert all(any(lines.similar(lines.shingles(x), lines.shingles(y)) for y in text) for _, t in rows for x in t.split("\n"))
+    assert len([x for x in out if x[0] == 5]) == 2 and len({x for x in out if x[0] == 5}) == 1
+    got = lines.op7_fuzzy_lines(spark, save(spark, tmp_path, documents=d)).collect()
+    assert len(got) == 6 and sorted((r.doc_id or 0, r.n_lines) for r in got) == [(0, 1), (0, 2), (1, 1), (5, 1), (5, 2), (5, 2)]
+    assert sum(r.n_removed for r in got if r.doc_id == 5) in (1, 3)
+
+
+def test_columns_of_any_name_and_type(spark):
+    from pyspark.sql import functions as F
+
+    long = "a line that is long enough to be told from others by its shingles"
+    d = docs(spark, [f"{long}\nsecond", f"{long}!\nthird"], [5, 6])
+    for c in ("_gone", "line_gone", "Line_Doc", "line_tie", "gone", "doc", "tie"):
+        d = d.withColumn(c, F.lit(c))
+    d = d.withColumn("n_chars", F.lit("many"))
+    out = {r.doc_id: r for r in lines.lines_stage(spark, d, "").collect()}
+    assert out[6].text == "third" and out[6].n_chars == "many" and out[6].asDict().keys() == set(d.columns)
+
+
+@pytest.mark.parametrize("apart,tile", [(2, 2048), (2, 5)])
+def test_large_groups_are_split_over_tasks(spark, monkeypatch, apart, tile):
+    d = docs(spark, near_texts(60))
+    want = {tuple(r) for r in lines.removed_lines(d).collect()}
+    monkeypatch.setattr(lines, "APART_LINES", apart)
+    monkeypatch.setattr(lines, "TILE_LINES", tile)
+    monkeypatch.setattr(lines, "BUCKET_BYTES", 50_000)
+    assert {tuple(r) for r in lines.removed_lines(d).collect()} == want and want

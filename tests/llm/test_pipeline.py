@@ -4,12 +4,12 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sluice.llm import decontaminate as dc
 from sluice.llm import quality, wordbpe
 from sluice.llm.common import read
 
 from .helpers import ODD_TEXTS, docs, save
 from .test_lines import brute as brute_lines
+from .test_search_toxicity import brute_rows
 from .test_simhash import brute_components, brute_fingerprint
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "extra"]
@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "extra"]
 
 def brute(rows, items):
     """The stages one after the other on lists of (doc_id, text, lang)."""
-    verdict = quality.measure([t or "" for _, t, _ in rows], [x for _, _, x in rows], quality.default_model())["kept"]
+    verdict = quality.measure([t or "" for _, t, _ in rows], [x for _, _, x in rows], quality.default_paths())["kept"]
     rows = [r for r, k in zip(rows, verdict, strict=True) if k]
     gone = brute_lines([t for _, t, _ in rows], [i for i, _, _ in rows])
     cut = []
@@ -28,12 +28,8 @@ def brute(rows, items):
     fps = {i: brute_fingerprint(t) for i, t, _ in cut}
     first = brute_components([i for i, _, _ in cut], fps)
     rows = [r for r in cut if first[r[0]] == r[0]]
-    grams = {i: set(dc.grams(dc.words_of(t))) for i, t in items}
-    clean = []
-    for r in rows:
-        own = set(dc.grams(dc.words_of(r[1])))
-        if not any(len(g & own) >= dc.OVERLAP * len(g) for g in grams.values()):
-            clean.append(r)
+    held = {d for d, *_ in brute_rows(items, [t for _, t, _ in rows])}
+    clean = [r for d, r in enumerate(rows) if d not in held]
     library = Tokenizer.from_file(wordbpe.default_path())
     return {i: library.encode(t, add_special_tokens=False).ids for i, t, _ in clean}
 
@@ -63,6 +59,18 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
     assert corpus_pipeline.STAGES[-1][1](spark, empty, folder).count() == 0
 
 
+def test_repeated_and_null_ids_lose_no_text(spark, folder, tmp_path):
+    some = [r.text for r in read(spark, folder, "documents").orderBy("doc_id").collect() if quality.measure([r.text or ""], [r.lang], quality.default_paths())["kept"][0]]
+    a, b, c, d = sorted(set(some), key=lambda t: -len(t))[:4]
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, d)]
+    sf = save(spark, tmp_path, documents=docs(spark, [t for _, t in rows], [i for i, _ in rows]), benchmark=read(spark, folder, "benchmark").limit(0))
+    out = corpus_pipeline.run(spark, sf).collect()
+    library = Tokenizer.from_file(wordbpe.default_path())
+    whole = sorted((i, library.encode(t, add_special_tokens=False).ids) for i, t in ((0, c), (0, d), (1, a), (5, b)))
+    assert sorted(r.doc_id or 0 for r in out) == [i for i, _ in whole]
+    assert sum(r.n_tokens for r in out) >= 0.8 * sum(len(x) for _, x in whole)
+
+
 def test_nothing_else_uses_the_subpackage():
     from pathlib import Path
 

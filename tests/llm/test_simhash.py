@@ -78,6 +78,21 @@ def test_stage_keeps_one_of_each_group_and_all_columns(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    a, b, c = "a b c d e f", "quite another text of words", "and a third text that is like none of them"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (None, c), (None, c), (3, c), (None, a)]
+    d = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    for x in ("near_doc", "near_tie", "doc", "tie", "fp", "least", "part"):
+        d = d.withColumn(x, F.lit(x))
+    out = simhash.simhash_stage(spark, d.repartition(3), "")
+    assert out.columns == d.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, a), (5, b), (0, c)])
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()}
+    assert got == {(1, 1), (5, 1), (5, 5), (7, 5), (3, 3), (None, None)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (4, 6), (6, 7), (7, 8), (8, 9), (9, 9), (2, 1), (100, 100), *((50 + i, 51 + i) for i in range(30))]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
