@@ -22,6 +22,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, one after the other; null ids, repeated ids, empty texts and empty tables are
+    treated as each stage's docstring says, and no stage drops a row for them but by its rule."""
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
