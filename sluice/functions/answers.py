@@ -21,15 +21,20 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(got != "", got)
 
 
+def _first_of(*found: Column) -> Column:
+    return F.coalesce(*found, F.lit(""))
+
+
 def letter_answer(text: Column) -> Column:
-    """A to D: after 'Answer:', else the last line that is one letter, else after 'the answer is', else a leading letter."""
-    alone = F.filter(_lines(text), lambda x: x.rlike(r"^\(?[A-Da-d]\)?\.?$"))
+    """A to D, in this order: after 'Answer:', the last line that is one letter, after 'the answer is', a letter in
+    front of a dot, bracket or space at the very beginning; else null."""
+    alone = F.filter(_lines(text), lambda x: x.rlike("^[A-Da-d]$"))
     return F.upper(
         F.coalesce(
             _found(text, r"Answer:\s*([A-Da-d])"),
-            _found(_last(alone), r"([A-Da-d])"),
-            _found(text, r"[Tt]he answer is\s*:?\s*\(?([A-Da-d])"),
-            _found(strip(text), r"^\(?([A-Da-d])(?:[).:\s]|$)"),
+            _last(alone),
+            _found(text, r"[Tt]he answer is\s*\(?([A-Da-d])"),
+            _found(strip(text), r"^\(?([A-Da-d])\)?[.)\s]"),
         )
     )
 
@@ -43,70 +48,114 @@ def same_number(a: Column, b: Column) -> Column:
     return F.coalesce(F.abs(a - b) < 1e-6, F.lit(False))
 
 
+def normalized_line(answer: Column) -> Column:
+    """Without dots at the end, white space as single spaces, in lower case."""
+    return F.lower(strip(F.regexp_replace(F.regexp_replace(strip(answer), r"\.+$", ""), r"\s+", " ")))
+
+
 def line_answer(text: Column) -> Column:
-    """The first 'Answer:' line's rest in any case, else the last line; without dots and outer space, in lower case."""
-    got = F.coalesce(_found(text, r"(?im)answer:[ \t]*(.*)$"), _last(_lines(text)), F.lit(""))
-    return F.lower(strip(F.regexp_replace(got, r"^[\s.]+|[\s.]+$", "")))
+    """What follows the first 'Answer:' in any case, up to the end of its line (of the next one, if it has nothing more),
+    else the last line; normalised."""
+    return normalized_line(_first_of(_found(text, r"(?i)Answer:\s*([^\n]+)"), _last(_lines(text))))
+
+
+def _last_said(text: Column) -> Column:
+    """What stands after the last 'Answer:' up to its line's end; null without one or with nothing there."""
+    got = strip(_last(F.regexp_extract_all(strip(F.coalesce(text, F.lit(""))), F.lit(r"(?im)Answer:\s*([^\n]+)$"), 1)))
+    return F.when(got != "", got)
 
 
-def boxed(text: Column) -> Column:
-    """Contents of the last \\boxed{}, with braces nested once."""
-    return _last(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"), 1))
+#: Braces nested up to three deep.
+_NESTED = r"(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"
+#: How answers in mathematics are rewritten before they are compared, in this order.
+MATH_RULES = (
+    (r"^`+|`+$", ""),
+    (r"^\$+|\$+$", ""),
+    (r"[.;,]+$", ""),
+    (rf"^\\(?:boxed|fbox)\{{({_NESTED})\}}$", "$1"),
+    (rf"^\\(?:boxed|fbox)\{{({_NESTED})\}}$", "$1"),
+    (r"\\(?:boxed|fbox)\{([^{}]+)\}", "$1"),
+    (r"\\(?:boxed|fbox)\{([^{}]+)\}", "$1"),
+    (r"\\left|\\right|\\!|\\,", ""),
+    (r"\\[td]frac", r"\\frac"),
+    (r"\\cdot|\\times", "*"),
+    ("[\u2212\u2013]", "-"),
+    ("\\\\pi|\u03c0", "pi"),
+    (r"\^\{?\\circ\}?", "deg"),
+    (r"\\text\{([^{}]+)\}", "$1"),
+    (r"\\mathrm\{([^{}]+)\}", "$1"),
+    (r"\\operatorname\{([^{}]+)\}", "$1"),
+    (r"\\sqrt\{([^{}]+)\}", "sqrt($1)"),
+    (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "($1)/($2)"),
+    (r"\{", "("),
+    (r"\}", ")"),
+    (r"\s+", ""),
+)
 
 
 def normalized_math(answer: Column) -> Column:
-    """Answers compare without dollar signs, spacing commands, \\left and \\right, text wrappers, units and final dots."""
-    a = F.coalesce(answer, F.lit(""))
-    for pattern, to in (
-        (r"\\(?:left|right|,|;|!|:)", ""),
-        (r"\\(?:text|mathrm|mbox)\{([^{}]*)\}", "$1"),
-        (r"\\[dt]frac", r"\\frac"),
-        (r"\\frac\{([^{}]+)\}\{([^{}]+)\}", "$1/$2"),
-        (r"[$%]|\\%|\^\\circ|\^\{\\circ\}", ""),
-        (r"\s+", ""),
-        (r"(?<=\d),(?=\d{3}(?!\d))", ""),
-        (r"\.$", ""),
-    ):
+    a = strip(F.coalesce(answer, F.lit("")))
+    for pattern, to in MATH_RULES:
         a = F.regexp_replace(a, pattern, to)
     return F.lower(a)
 
 
 def math_answer(text: Column) -> Column:
-    """The last 'Answer:' line, else the last box, else the last line, normalised."""
-    said = _last(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?im)^\s*(?:final )?answer:[ \t]*(.+)$"), 1))
-    return normalized_math(F.coalesce(F.coalesce(boxed(said), said), boxed(text), _last(_lines(text))))
+    """The last 'Answer:', wherever it stands, else the last box without inner braces, else the last line; normalised."""
+    box = strip(_last(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\\boxed\{([^{}]+)\}"), 1)))
+    line = F.regexp_replace(_last(_lines(text)), "(?i)^(?:final answer|answer)\\s*[:\uff1a-]?\\s*", "")
+    return normalized_math(_first_of(_last_said(text), box, line))
 
 
-def _value(a: Column) -> Column:
-    ratio = F.regexp_extract(a, r"^(-?[\d.]+)/(-?[\d.]+)$", 1).try_cast("double") / F.nullif(F.regexp_extract(a, r"^(-?[\d.]+)/(-?[\d.]+)$", 2).try_cast("double"), F.lit(0.0))
-    return F.coalesce(a.try_cast("double"), ratio)
+def _ratio(a: Column) -> tuple[Column, Column]:
+    """Whole numbers, fractions of them and decimals without a rest, as numerator and denominator; else null."""
+    part = lambda k: F.regexp_extract(a, r"^([-+]?\d+)(?:\.0+|/(\d+))?$", k)
+    below = F.when(part(2) != "", part(2)).otherwise("1").try_cast("decimal(18,0)")
+    return part(1).try_cast("decimal(18,0)"), F.nullif(below, F.lit(0))
 
 
 def same_math(a: Column, b: Column) -> Column:
-    """Equal texts after normalisation, or equal values of fractions and decimals."""
-    return (a == b) | F.coalesce(F.abs(_value(a) - _value(b)) < 1e-6, F.lit(False))
+    """Equal after normalisation, or equal as whole numbers and fractions, or as decimals of 12 digits."""
+    (n, d), (m, e) = _ratio(a), _ratio(b)
+    digits = lambda x: F.when(x.rlike(r"^[-+]?\d+\.\d+$"), F.format_string("%.11e", x.try_cast("double")))
+    return (a == b) | F.coalesce(n * e == m * d, F.lit(False)) | F.coalesce(digits(a) == digits(b), F.lit(False))
 
 
-def graph_answer(text: Column, task_type: Column) -> Column:
-    """For yes/no tasks the first of either word, otherwise the first integer."""
-    yes_no = F.lower(_found(text, r"(?i)\b(yes|no)\b"))
-    return F.when(task_type == "yes_no", yes_no).otherwise(_found(text, r"(-?\d+)"))
+#: Kinds of graph tasks.
+GRAPH_BINARY = ("bipartite", "connectivity", "cycle", "hamilton", "substructure")
+GRAPH_NUMERIC = ("flow", "shortest", "triangle")
+GRAPH_EXCLUDED = ("topology",)
+
+
+def graph_answer(text: Column, task: Column) -> Column:
+    """Of what follows the last 'Answer:', else the last '###', else of the last line: yes or no for tasks that ask for
+    one (yes goes first), the first integer for those that ask for a number, otherwise all of it."""
+    marked = strip(_last(F.regexp_extract_all(strip(F.coalesce(text, F.lit(""))), F.lit(r"(?m)###\s*([^\n]+)$"), 1)))
+    got = F.regexp_replace(strip(_first_of(_last_said(text), F.when(marked != "", marked), _last(_lines(text)))), r"^\.+|\.+$", "")
+    binary = F.when(F.lower(got).contains("yes"), F.lit("yes")).when(F.lower(got).contains("no"), F.lit("no"))
+    return F.coalesce(F.when(task.isin(*GRAPH_BINARY), binary).when(task.isin(*GRAPH_NUMERIC), _found(got, r"(-?\d+)")), got)
 
 
 def yes_no_label(text: Column) -> Column:
-    """yes wherever the word stands, else no, else null."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    """Of what follows the last 'Answer:', else of the whole text: yes wherever the word stands, else no, else null."""
+    t = F.lower(_first_of(_last_said(text), text))
     return F.when(t.rlike(r"\byes\b"), F.lit("yes")).when(t.rlike(r"\bno\b"), F.lit("no"))
 
 
+#: What a line of Python may begin with.
+CODE_STARTS = ("def ", "class ", "import ", "from ", "return ", "#", "if ", "else:", "elif ", "for ", "while ", "try:", "except", "with ", "raise ")
+
+
 def code_answer(text: Column) -> Column:
-    """The last fenced block's code, else from the first line that defines or imports something, else the text.
+    """The first fenced block of Python (or of no language), else the text from the first blank or indented line, or line
+    that begins like code, else the text.
 
     Nothing is run here: what the code is worth has to come in as a column.
     """
-    fenced = _last(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"```(?:[a-zA-Z0-9_+-]*)\n([\s\S]*?)```"), 1))
-    defined = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^(?:def |class |import |from )[\s\S]*", 0)
-    return strip(F.coalesce(fenced, F.when(defined != "", defined), text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
+    fenced = F.regexp_extract(t, r"```(?:python)?\s*\n([\s\S]*?)```", 1)
+    begins = F.regexp_extract(t, r"(?m)^(?:[ \t]|$|" + "|".join(CODE_STARTS) + r")[\s\S]*", 0)
+    return F.when(t.rlike(r"```(?:python)?\s*\n[\s\S]*?```"), strip(fenced)).when(begins != "", begins).otherwise(t)
 
 
 def _letters(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
@@ -121,7 +170,7 @@ def _numbers(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
 
 def _line(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
     a = line_answer(said)
-    return a, a == F.lower(strip(F.regexp_replace(gold, r"^[\s.]+|[\s.]+$", "")))
+    return a, a == normalized_line(gold)
 
 
 def _math(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
@@ -131,7 +180,7 @@ def _math(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
 
 def _graph(said: Column, gold: Column, kind: Column) -> tuple[Column, Column]:
     a = graph_answer(said, kind)
-    return a, a == F.lower(strip(gold))
+    return a, a == graph_answer(gold, kind)
 
 
 def _yes_no(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
@@ -139,22 +188,26 @@ def _yes_no(said: Column, gold: Column, _: Column) -> tuple[Column, Column]:
     return a, a == yes_no_label(gold)
 
 
-#: How a benchmark's answers are read and compared, by its names.
-SCORERS = {"gpqa": _letters, "mmlu": _letters, "gsm8k": _numbers, "bbh": _line, "math500": _math, "graphwiz": _graph, "nlgraph": _yes_no}
+def _code(said: Column, passed: Column, _: Column) -> tuple[Column, Column]:
+    return code_answer(said), passed.cast("boolean")
+
+
+#: How a benchmark's answers are read and compared, by its names; mbpp takes whether the tests passed as its gold column.
+SCORERS = {"gpqa": _letters, "mmlu": _letters, "gsm8k": _numbers, "bbh": _line, "mbpp": _code, "math500": _math, "graphwiz": _graph, "nlgraph_yesno": _yes_no}
 #: Other names of benchmarks.
-ALIASES = {"gpqa_diamond": "gpqa", "math": "math500", "math_500": "math500", "nlgraph_yesno": "nlgraph", "big_bench_hard": "bbh"}
+ALIASES = {"graph": "graphwiz", "graph_yesno": "nlgraph_yesno"}
 
 
 def score(df: DataFrame, benchmark: str, said: str = "said", gold: str = "gold", kind: str | None = None) -> DataFrame:
-    """``df`` with answer and correct by the benchmark's rules; no answer is wrong.  graphwiz leaves topology tasks out,
-    nlgraph items without a label."""
+    """``df`` with answer and correct by the benchmark's rules; no answer is wrong.  graphwiz leaves topology tasks out
+    (``kind`` is the column of its tasks), nlgraph_yesno items without a label."""
     name = ALIASES.get(benchmark.lower(), benchmark.lower())
     if name not in SCORERS:
         raise KeyError(f"unknown benchmark {benchmark}")
-    k = F.col(kind) if kind else F.lit("yes_no")
+    k = F.col(kind) if kind else F.lit(GRAPH_BINARY[0])
     if name == "graphwiz" and kind:
-        df = df.where(F.col(kind) != "topology")
-    if name == "nlgraph":
+        df = df.where(~F.col(kind).isin(*GRAPH_EXCLUDED))
+    if name == "nlgraph_yesno":
         df = df.where(yes_no_label(F.col(gold)).isNotNull())
     answer, correct = SCORERS[name](F.col(said), F.col(gold), k)
     return df.withColumn("answer", answer).withColumn("correct", F.coalesce(correct, F.lit(False)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -586,70 +587,102 @@ def less_influence_subtasks(spark, sf):
     return _influence(spark, sf, subtasks=5)
 
 
-# --- answers (the fixtures hold none: a few are given) -------------------------------------------------------------
-
-SAID = [
-    (1, "gpqa", "Let me think.\nAnswer: b", "B"),
-    (2, "gpqa", "It may be A or C.\nC", "C"),
-    (3, "gpqa", "so the answer is (D)", "A"),
-    (4, "gpqa", "nothing here", "A"),
-    (5, "mmlu", "A) because", "A"),
-    (6, "gsm8k", "2 + 2 = 4\n#### 1,004.50", "1004.5"),
-    (7, "gsm8k", "no number", "3"),
-    (8, "bbh", "I say\nanswer: Yes.\nmore", "yes"),
-    (9, "bbh", "first\n(valid)", "(valid)"),
-    (10, "math500", "We get\nAnswer: $\\frac{1}{2}$", "0.5"),
-    (11, "math500", "so \\boxed{12{,}3} and \\boxed{ 42 }.", "42"),
-    (12, "nlgraph", "No, there is yes a path", "yes"),
-]
-SAID_SQL = "said(id, task, said, gold) AS (VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(i, t, s.replace("\n", "' || chr(10) || '"), g) for i, t, s, g in SAID) + ")"
+# --- answers: replies made of whole documents, as the fixtures hold none ---------------------------------------------
+
+#: Replies of a kind by doc_id % 12; the text is the same in both dialects (chr(92) is the backslash).
+REPLY = """CASE doc_id % 12
+  WHEN 0 THEN concat(t, chr(10), 'Answer: b')
+  WHEN 1 THEN concat(t, chr(10), 'C', chr(10))
+  WHEN 2 THEN concat('so the answer is (D) ', t)
+  WHEN 3 THEN concat('A) ', t)
+  WHEN 4 THEN concat(t, chr(10), '#### 1,00', doc_id, '.50')
+  WHEN 5 THEN concat('answer:', chr(10), ' Yes,  it is.. ', chr(10), t)
+  WHEN 6 THEN concat('The Answer: 12', chr(10), t, ' Final answer: ', chr(92), 'frac{1}{2}', chr(10), 'thanks')
+  WHEN 7 THEN concat(t, chr(10), 'so ', chr(92), 'boxed{3} and ', chr(92), 'boxed{', doc_id, '/2}.')
+  WHEN 8 THEN concat('There are 5 nodes.', chr(10), t, chr(10), 'Answer: the flow is -7.', chr(10))
+  WHEN 9 THEN concat('No path. ', t, chr(10), '### Yes.')
+  WHEN 10 THEN concat('no ', t, chr(10), 'Answer: well, YES')
+  ELSE concat('50', chr(92), '% of it', chr(10), t, chr(10), 'Final Answer - 90^{', chr(92), 'circ}') END"""
+SAID_SQL = f"d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), r AS (SELECT doc_id AS id, doc_id % 12 AS kind, {REPLY} AS said FROM d)"
+
+
+def said(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 12).alias("kind"), F.expr(REPLY).alias("said"))
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
 
+def lines_sql(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 
-def said(spark) -> DataFrame:
-    return spark.createDataFrame(SAID, "id int, task string, said string, gold string")
 
+def found_sql(x: str, pattern: str) -> str:
+    return f"nullif(regexp_extract({x}, '{pattern}', 1), '')"
 
-LETTER = r"""upper(coalesce(nullif(regexp_extract(said, 'Answer:\s*([A-Da-d])', 1), ''),
-  nullif(regexp_extract(list_filter(list_transform(string_split(said, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^\(?[A-Da-d]\)?\.?$'))[-1], '([A-Da-d])', 1), ''),
-  nullif(regexp_extract(said, '[Tt]he answer is\s*:?\s*\(?([A-Da-d])', 1), ''), nullif(regexp_extract(trim(said), '^\(?([A-Da-d])(?:[).:\s]|$)', 1), '')))"""
 
+LAST_SAID = rf"nullif({strip_sql(rf"regexp_extract_all({strip_sql('said')}, '(?im)Answer:\s*([^\n]+)$', 1)[-1]")}, '')"
+LETTER = rf"""upper(coalesce({found_sql('said', r'Answer:\s*([A-Da-d])')}, list_filter({lines_sql('said')}, lambda x: regexp_matches(x, '^[A-Da-d]$'))[-1],
+  {found_sql('said', r'[Tt]he answer is\s*\(?([A-Da-d])')}, {found_sql(strip_sql('said'), r'^\(?([A-Da-d])\)?[.)\s]')}))"""
+LINE = rf"lower({strip_sql(rf"regexp_replace(regexp_replace({strip_sql(rf"coalesce({found_sql('said', r'(?i)Answer:\s*([^\n]+)')}, {lines_sql('said')}[-1], '')")}, '\.+$', ''), '\s+', ' ', 'g')")})"
+LETTERS = f"letters AS (SELECT kind, coalesce({LETTER} = ['B', 'C', 'D', 'A'][kind + 1], false) AS ok FROM r WHERE kind < 4)"
 
-@query(f"WITH {SAID_SQL} SELECT id, {LETTER} AS answer FROM said WHERE task IN ('gpqa', 'mmlu')")
+
+def math_sql(x: str) -> str:
+    out = strip_sql(x)
+    for pattern, to in answers.MATH_RULES:
+        out = "regexp_replace({}, '{}', '{}', 'g')".format(out, pattern, re.sub(r"\$(\d)", r"\\\1", to))
+    return f"lower({out})"
+
+
+MATH_SAID = rf"""coalesce({LAST_SAID}, {strip_sql(r"regexp_extract_all(said, '\\boxed\{([^{}]+)\}', 1)[-1]")},
+  regexp_replace({lines_sql('said')}[-1], '(?i)^(?:final answer|answer)\s*[:：-]?\s*', ''), '')"""
+GRAPH_SAID = rf"regexp_replace({strip_sql(rf"coalesce({LAST_SAID}, nullif({strip_sql(rf"regexp_extract_all({strip_sql('said')}, '(?m)###\s*([^\n]+)$', 1)[-1]")}, ''), {lines_sql('said')}[-1], '')")}, '^\.+|\.+$', '', 'g')"
+
+
+@query(f"WITH {SAID_SQL} SELECT id, {LETTER} AS answer FROM r")
 def letter_answers(spark, sf):
-    return said(spark).where("task IN ('gpqa', 'mmlu')").select("id", answers.letter_answer(F.col("said")).alias("answer"))
+    return said(spark, sf).select("id", answers.letter_answer(F.col("said")).alias("answer"))
 
 
-@query(rf"WITH {SAID_SQL} SELECT id, TRY_CAST(replace(nullif(regexp_extract(said, '####\s*(-?[\d,]+\.?\d*)', 1), ''), ',', '') AS DOUBLE) AS answer FROM said WHERE task = 'gsm8k'")
+@query(rf"WITH {SAID_SQL} SELECT id, TRY_CAST(replace(nullif(regexp_extract(said, '####\s*(-?[\d,]+\.?\d*)', 1), ''), ',', '') AS DOUBLE) AS answer FROM r")
 def number_answers(spark, sf):
-    return said(spark).where("task = 'gsm8k'").select("id", answers.number_answer(F.col("said")).alias("answer"))
+    return said(spark, sf).select("id", answers.number_answer(F.col("said")).alias("answer"))
 
 
-@query(rf"WITH {SAID_SQL} SELECT id, lower(trim(regexp_replace(coalesce(nullif(regexp_extract(said, '(?im)answer:[ \t]*(.*)$', 1), ''), list_filter(list_transform(string_split(said, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1], ''), '^[\s.]+|[\s.]+$', '', 'g'))) AS answer FROM said WHERE task = 'bbh'")
+@query(f"WITH {SAID_SQL} SELECT id, {LINE} AS answer FROM r")
 def line_answers(spark, sf):
-    return said(spark).where("task = 'bbh'").select("id", answers.line_answer(F.col("said")).alias("answer"))
+    return said(spark, sf).select("id", answers.line_answer(F.col("said")).alias("answer"))
 
 
-@query("SELECT * FROM (VALUES (10, '1/2', true), (11, '42', true)) t(id, answer, correct)")
+@query(f"WITH {SAID_SQL}, a AS (SELECT id, {MATH_SAID} AS raw FROM r) SELECT id, {math_sql('raw')} AS answer FROM a")
 def math_answers(spark, sf):
-    a = answers.math_answer(F.col("said"))
-    return said(spark).where("task = 'math500'").select("id", a.alias("answer"), answers.same_math(a, answers.normalized_math(F.col("gold"))).alias("correct"))
+    return said(spark, sf).select("id", answers.math_answer(F.col("said")).alias("answer"))
 
 
-@query(f"WITH {SAID_SQL}, c AS (SELECT task, coalesce({LETTER} = gold, false) AS ok FROM said WHERE task IN ('gpqa', 'mmlu')) SELECT task, count(*) AS n, CAST(sum(ok::INT) AS BIGINT) AS n_correct, round(avg(ok::INT), 6) AS accuracy FROM c GROUP BY task")
+@query(f"WITH {SAID_SQL}, {LETTERS} SELECT kind, count(*) AS n, CAST(sum(ok::INT) AS BIGINT) AS n_correct, round(avg(ok::INT), 6) AS accuracy FROM letters GROUP BY kind")
 def accuracy_by_task(spark, sf):
-    ok = F.coalesce(answers.letter_answer(F.col("said")) == F.col("gold"), F.lit(False))
-    out = answers.accuracy(said(spark).where("task IN ('gpqa', 'mmlu')").withColumn("ok", ok), "ok", "task")
-    return out.withColumn("accuracy", F.round("accuracy", 6))
+    gold = F.element_at(F.array(*map(F.lit, "BCDA")), (F.col("kind") + 1).cast("int"))
+    df = said(spark, sf).where("kind < 4").select("kind", "said", gold.alias("gold"))
+    return answers.accuracy(answers.score(df, "gpqa"), "correct", "kind").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"WITH {SAID_SQL}, c AS (SELECT task, coalesce({LETTER} = gold, false) AS ok FROM said WHERE task IN ('gpqa', 'mmlu')), t AS (SELECT task, avg(ok::INT) AS a FROM c GROUP BY task) SELECT round(avg(a), 6) AS macro_average, count(*) AS n_tasks FROM t")
+@query(f"WITH {SAID_SQL}, {LETTERS}, t AS (SELECT kind, avg(ok::INT) AS a FROM letters GROUP BY kind) SELECT round(avg(a), 6) AS macro_average, count(*) AS n_tasks FROM t")
 def macro_average(spark, sf):
     return answers.macro_average(accuracy_by_task(spark, sf)).withColumn("macro_average", F.round("macro_average", 6))
 
 
-@query(rf"WITH {SAID_SQL} SELECT id, CASE WHEN regexp_matches(lower(said), '\byes\b') THEN 'yes' WHEN regexp_matches(lower(said), '\bno\b') THEN 'no' END AS label, lower(nullif(regexp_extract(said, '(?i)\b(yes|no)\b', 1), '')) AS first_word FROM said")
+@query(rf"""WITH {SAID_SQL}, a AS (SELECT id, {GRAPH_SAID} AS got, coalesce({LAST_SAID}, said) AS label FROM r)
+SELECT id, CASE WHEN regexp_matches(lower(label), '\byes\b') THEN 'yes' WHEN regexp_matches(lower(label), '\bno\b') THEN 'no' END AS label,
+  CASE WHEN contains(lower(got), 'yes') THEN 'yes' WHEN contains(lower(got), 'no') THEN 'no' ELSE got END AS binary_answer,
+  coalesce(nullif(regexp_extract(got, '(-?\d+)', 1), ''), got) AS number_answer FROM a""")
 def graph_labels(spark, sf):
-    return said(spark).select("id", answers.yes_no_label(F.col("said")).alias("label"), answers.graph_answer(F.col("said"), F.lit("yes_no")).alias("first_word"))
+    t = F.col("said")
+    return said(spark, sf).select(
+        "id", answers.yes_no_label(t).alias("label"), answers.graph_answer(t, F.lit("cycle")).alias("binary_answer"), answers.graph_answer(t, F.lit("flow")).alias("number_answer")
+    )
 
 
 @query("SELECT item_id, CAST((item_id % 4) AS INTEGER) AS shard FROM benchmark")
@@ -662,21 +695,29 @@ def merged_eval_sets(spark, sf):
     return records.merge_tagged({"a": table(spark, sf, "benchmark"), "b": table(spark, sf, "conversations")}).groupBy("data_source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('bbh', 2, 2), ('gpqa', 2, 4), ('gsm8k', 1, 2), ('math500', 2, 2), ('mmlu', 1, 1), ('nlgraph', 1, 1)) t(task, n_correct, n)")
+@query(rf"""WITH {SAID_SQL}, s AS (
+  SELECT 'bbh' AS task, {LINE} = 'yes, it is' AS ok FROM r
+  UNION ALL SELECT 'gpqa', {LETTER} = 'B' FROM r
+  UNION ALL SELECT 'gsm8k', abs(TRY_CAST(replace(nullif(regexp_extract(said, '####\s*(-?[\d,]+\.?\d*)', 1), ''), ',', '') AS DOUBLE) - 10004.5) < 1e-6 FROM r
+  UNION ALL SELECT 'graphwiz', coalesce(nullif(regexp_extract({GRAPH_SAID}, '(-?\d+)', 1), ''), {GRAPH_SAID}) = '-7' FROM r
+  UNION ALL SELECT 'mbpp', id % 3 = 0 FROM r)
+SELECT task, CAST(sum(coalesce(ok, false)::INT) AS INT) AS n_correct, CAST(count(*) AS INT) AS n FROM s GROUP BY task""")
 def benchmark_scores(spark, sf):
-    rows = None
-    for b in sorted({t for _, t, _, _ in SAID}):
-        part = answers.score(said(spark).where(F.col("task") == b), b).select("task", "correct")
+    rows, base = None, said(spark, sf).withColumn("passed", F.col("id") % 3 == 0).withColumn("task", F.lit("flow"))
+    for b, gold in (("bbh", "Yes, it is."), ("gpqa", "b"), ("gsm8k", "10,004.5"), ("graph", "-7"), ("mbpp", None)):
+        df = base.withColumn("gold", F.lit(gold)) if gold else base.withColumn("gold", F.col("passed"))
+        part = answers.score(df, b, kind="task").select(F.lit(answers.ALIASES.get(b, b)).alias("task"), "correct")
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("task").agg(F.sum(F.col("correct").cast("int")).cast("int").alias("n_correct"), F.count("*").cast("int").alias("n"))
 
 
-@query("SELECT doc_id, trim(CASE WHEN doc_id % 2 = 0 THEN 'def f():' || chr(10) || '  return ' || doc_id ELSE 'x = ' || doc_id END) AS code FROM documents")
+@query(f"SELECT doc_id, {strip_sql("CASE WHEN doc_id % 2 = 0 THEN concat('def f():', chr(10), '  return ', doc_id, chr(10), coalesce(text, '')) ELSE concat('x = ', coalesce(text, '')) END")} AS code FROM documents")
 def code_answers(spark, sf):
     d = table(spark, sf, "documents")
-    made = F.when(
-        F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\n"), F.lit("def f():\n  return "), F.col("doc_id").cast("string"))
-    ).otherwise(F.concat(F.lit("Here\n```python\nold\n```\nor\n```\nx = "), F.col("doc_id").cast("string"), F.lit("\n```\nbye")))
+    t = F.coalesce("text", F.lit(""))
+    made = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Sure:\ndef f():\n  return "), F.col("doc_id").cast("string"), F.lit("\n"), t)).otherwise(
+        F.concat(F.lit("Here\n```python\nx = "), t, F.lit("\n```\nbye\n```\nlater\n```"))
+    )
     return d.select("doc_id", answers.code_answer(made).alias("code"))
 
 

@@ -13,18 +13,18 @@ from sluice.plans.recipe import Recipe, Step, catalog_operators
 
 #: Operators that warm-up designs leave out: they need an earlier recipe, or scale with the pool.
 NOT_SAMPLED = ("union", "semdedup")
+#: Operators that stand for each other; any other is of no family.
 FAMILIES = {
-    "budget": ("truncate_samples", "source_mix", "varentropy_mix"),
-    "relevance": ("mona_filter", "sparse_mona_filter"),
-    "quality": ("quality_filter", "ifd_filter", "ngram_entropy", "action_object_branching", "varentropy_filter", "reward_model_filter"),
-    "dedup": ("semantic_dedup", "semdedup"),
-    "combine": ("union",),
+    "source_mixing": ("source_mix", "truncate_samples", "varentropy_mix"),
+    "task_relevance_selection": ("mona_filter", "ifd_filter", "ngram_entropy", "action_object_branching", "varentropy_filter"),
+    "dedup_or_redundancy_control": ("semantic_dedup", "semdedup"),
+    "set_operations": ("union",),
 }
 FRACTION_OPERATORS = ("mona_filter", "ifd_filter", "ngram_entropy", "action_object_branching", "varentropy_filter")
 
 
 def family_of(operator: str) -> str:
-    return next((f for f, ops in FAMILIES.items() if operator in ops), "other")
+    return next((f for f, ops in FAMILIES.items() if operator in ops), "unknown")
 
 
 def operator_space(extra: tuple[str, ...] = (), sampled: bool = False) -> tuple[str, ...]:
@@ -159,24 +159,42 @@ def designs(n: int, pool: int, seed: int = 42) -> list[Recipe]:
     return [decode(p, pool, f"lhs_{i}") for i, p in enumerate(latin_hypercube(n, DIMENSIONS, seed))]
 
 
+#: Parameters that say how strong an operator of an extension is, the first of them that it has.
+STRENGTHS = ("fraction", "rate", "ratio", "threshold", "jaccard_threshold", "cosine_threshold", "temperature", "top_k", "total_samples")
+
+
+def _unit(x: float) -> float:
+    return max(0.0, min(1.0, x))
+
+
+def _strength(params: dict[str, Any]) -> float:
+    """0 to 1 from the parameter that is named for it (one half if that is no number), else from the first number of 0 or
+    more; numbers above 1 by their logarithm."""
+
+    def scaled(v: Any) -> float | None:
+        try:
+            x = float(v)
+        except (TypeError, ValueError):
+            return None
+        return None if not x >= 0 else x if x <= 1 else _unit(float(np.log1p(x) / np.log1p(100_000)))
+
+    named = next((k for k in STRENGTHS if k in params), None)
+    found = [params[named]] if named else params.values()
+    return next((y for y in map(scaled, found) if y is not None), 0.5)
+
+
 def _slots(op: str, params: dict[str, Any] | None) -> list[float]:
     """An operator's part of the vector; one that is on but has no parameters counts as off."""
     p = params or {}
     if op == "semdedup":
-        return [1.0, float(p.get("num_clusters", 1000)) / 10_000, float(p.get("cosine_threshold", 0.95))] if p else [0.0, 0.1, 1.0]
-    if op == "union":
-        return [1.0 if p.get("source_recipe") else 0.0, 0.0]
-    if not p:
-        return [0.0, 1.0]
+        return [1.0, _unit(float(p.get("num_clusters", 1000)) / 10_000), _unit(float(p.get("cosine_threshold", 0.95)))] if p else [0.0, 0.1, 1.0]
     if op == "truncate_samples":
-        return [1.0, float(p.get("total_samples", 10_000)) / 100_000]
+        return [1.0, _unit(float(p.get("total_samples", 10_000)) / 100_000)] if p else [0.0, 1.0]
     if op == "semantic_dedup":
-        return [1.0, float(p.get("jaccard_threshold", 0.8))]
+        return [1.0, _unit(float(p.get("jaccard_threshold", 0.8)))] if p else [0.0, 1.0]
     if op in FRACTION_OPERATORS:
-        return [1.0, float(p.get("fraction", 0.5))]
-    named = [p[k] for k in ("fraction", "rate", "ratio", "threshold", "jaccard", "cosine", "temperature", "top_k", "total_samples") if isinstance(p.get(k), (int, float))]
-    x = (named or [v for v in p.values() if isinstance(v, (int, float)) and not isinstance(v, bool)] or [0.5])[0]
-    return [1.0, float(x) if x <= 1 else float(np.log1p(x) / np.log1p(100_000))]
+        return [1.0, float(p.get("fraction", 0.5))] if p else [0.0, 1.0]
+    return [1.0, _strength(p)] if p else [0.0, 0.0]
 
 
 def _own(recipe: Recipe, operators: tuple[str, ...]) -> np.ndarray:
@@ -185,10 +203,12 @@ def _own(recipe: Recipe, operators: tuple[str, ...]) -> np.ndarray:
 
 
 def encode(recipe: Recipe, operators: tuple[str, ...] = OFFICIAL, known: dict[str, Recipe] | None = None) -> np.ndarray:
-    """The recipe's own slots; for a union also those of its source, their difference and their maximum, and a flag."""
+    """The recipe's own slots; for a union also those of its source, their difference and their maximum (zeros if the
+    source isn't known), and a flag for a union."""
     own = _own(recipe, operators)
     source = next((s.params.get("source_recipe") for s in recipe.steps if s.enabled and s.operator == "union"), None)
+    flag, none = [1.0 if source else 0.0], np.zeros_like(own)
     if source and known and source in known:
         other = _own(known[source], operators)
-        return np.concatenate([own, other, np.abs(own - other), np.maximum(own, other), [1.0]])
-    return np.concatenate([own, np.zeros_like(own), np.zeros_like(own), own, [0.0]])
+        return np.concatenate([own, other, np.abs(own - other), np.maximum(own, other), flag])
+    return np.concatenate([own, none, none, none, flag])

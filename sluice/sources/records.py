@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +13,9 @@ from pyspark.sql import types as T
 from sluice.functions.text import join_non_empty, sample_text, stable_md5
 from sluice.sources.schema import CANONICAL, ROLES, message, split_name
 
-#: Keys of ``extra`` that are features rather than annotations; writers leave them out.
-HEAVY_KEYS = ("sae_topk", "embedding", "mona_scores", "similarities", "token_logprobs", "activations")
+#: Keys of ``extra`` that writers leave out as too large, and those that are numeric annotations.
+HEAVY_KEYS = ("feature", "embedding", "activations", "hidden_states", "sae_features", "representations")
+NUMERIC_KEYS = ("sae_topk", "ifd", "varentropy", "ngram_entropy", "action_object", "mona_score", "mona_scores", "similarities")
 LONGEST_LIST = 256
 
 
@@ -151,14 +154,44 @@ def to_sharegpt(df: DataFrame) -> DataFrame:
 
 
 def text_only(df: DataFrame, extra: str = "extra") -> DataFrame:
-    """The pool without numeric annotations."""
-    return df.drop(extra, *HEAVY_KEYS)
+    """The pool without numeric annotations, as columns or as keys of ``extra`` (JSON text or a map); what else is there
+    stays."""
+    return without_keys(df.drop(*NUMERIC_KEYS), NUMERIC_KEYS, extra)
+
+
+def without_keys(df: DataFrame, keys: tuple[str, ...], extra: str = "extra", longest: int | None = None) -> DataFrame:
+    """``extra`` without the keys and, if ``longest`` is given, without lists of more items than that.
+
+    JSON text is parsed in Arrow batches: the JVM's functions can't drop a key and leave the types of the others alone.
+    Text that is no JSON object, and objects without such a key, stay as they are.
+    """
+    if extra not in df.columns:
+        return df
+    if isinstance(df.schema[extra].dataType, T.MapType):
+        return df.withColumn(extra, F.map_filter(extra, lambda k, _: ~k.isin(*keys)))
+
+    @F.pandas_udf("string")
+    def kept(texts: pd.Series) -> pd.Series:
+        return texts.map(_kept, na_action="ignore")
+
+    def _kept(text: str) -> str:
+        try:
+            whole = json.loads(text)
+        except ValueError:
+            return text
+        if not isinstance(whole, dict):
+            return text
+        out = {k: v for k, v in whole.items() if k not in keys and not (longest is not None and isinstance(v, list) and len(v) > longest)}
+        return text if len(out) == len(whole) else json.dumps(out, ensure_ascii=False)
+
+    return df.withColumn(extra, kept(extra))
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    """JSONL without heavy keys; arrays of numbers longer than 256 go as well."""
+    """JSONL without heavy keys, as columns or in ``extra``; arrays of numbers (in ``extra`` any lists) longer than 256
+    go as well."""
     keep = [c for c in df.columns if c not in HEAVY_KEYS]
-    out = df.select(*keep)
+    out = without_keys(df.select(*keep), HEAVY_KEYS, longest=LONGEST_LIST)
     for f in out.schema.fields:
         if f.dataType.simpleString() in ("array<float>", "array<double>", "array<int>", "array<bigint>"):
             out = out.withColumn(f.name, F.when(F.size(f.name) <= LONGEST_LIST, F.col(f.name)))

@@ -196,3 +196,54 @@ def test_experiment(pool):
     assert experiment.diagnose(m(0.5, 1.0, 0.2), m(0.6, 2.0, 0.9), r) == ["LOW_TASK_FIT", "OVER_FILTER", "OVER_DEDUP"]
     assert experiment.diagnose(m(0.6, 1.0, 0.9, 2.0), m(0.6, 1.0, 0.9, 1.0), r) == ["HIGH_COST_LOW_GAIN"]
     assert m(0.5, 0.0, 0.2).objective() == round(0.5 - 0.12 * 0.5, 6)
+
+
+def test_replies_are_read_as_their_benchmarks_say(spark):
+    rows = [
+        ("gpqa", "Answer: b\n(C)", "b", None, "B"), ("gpqa", "It may be.\n(B).\nno", "B", None, None), ("gpqa", "so\nc\n", "C", None, "C"),
+        ("gpqa", "the answer is: A", "A", None, None), ("gpqa", "D", "D", None, "D"), ("gpqa", "D: yes", "D", None, None), ("mmlu", " (a) since", "A", None, "A"),
+        ("bbh", "Answer:\nYes\nmore", "yes", None, "yes"), ("bbh", "x\n ..so  it\tis. ", "..so it is", None, "..so it is"),
+        ("math500", "The Answer: 12\nthanks", "12", None, "12"), ("math500", "Answer: 50\\%", "50", None, False), ("math500", "Answer: $90^\\circ$", "90", None, False),
+        ("math500", "Answer: \\boxed{\\dfrac{4}{2}}", "(4)/(2)", None, "(4)/(2)"), ("math500", "so \\boxed{4/2}", "2.0", None, "4/2"), ("math500", "Answer: \u22123\\pi \\cdot \\sqrt{2}", "-3pi*sqrt(2)", None, "-3pi*sqrt(2)"),
+        ("math500", "x\nFinal answer: .5;", ".5", None, ".5"), ("math500", "Answer: 0.5", "1/2", None, False),
+        ("graph", "There are 5 nodes.\nAnswer: 7", "7", "flow", "7"), ("graphwiz", "No path in A. Answer: Yes", "yes", "cycle", "yes"), ("graphwiz", "x\n### -4.", "-4", "shortest", "-4"),
+        ("graphwiz", "a\nunknown", "no", "cycle", "no"), ("graphwiz", "Answer: 5", "5", "topology", "gone"),
+        ("graph_yesno", "yes it is\nAnswer: no", "No.", None, "no"), ("graph_yesno", "no or yes", "yes", None, "yes"), ("graph_yesno", "hm", "perhaps", None, "gone"),
+    ]
+    for name, said, gold, kind, want in rows:
+        df = spark.createDataFrame([(said, gold, kind)], "said string, gold string, kind string")
+        got = answers.score(df, name, kind="kind" if kind else None).collect()
+        if want == "gone":
+            assert not got
+        else:
+            assert (got[0].correct, got[0].answer) == ((True, want) if want else (False, got[0].answer)), (name, said, got)
+    df = spark.createDataFrame([("```python\na\n```\n```\nb\n```", True), ("```js\nx", False), ("Sure:\n\nx = 1\ny", None), ("Here\nimport a\nb", True)], "said string, gold boolean")
+    assert [(r.answer, r.correct) for r in answers.score(df, "mbpp").collect()] == [("a", True), ("```js\nx", False), ("\nx = 1\ny", False), ("import a\nb", True)]
+    with pytest.raises(KeyError):
+        answers.score(df, "math")
+
+
+def test_heavy_and_numeric_keys_leave_extra(spark, tmp_path):
+    extra = '{"feature": [1], "ifd": {"score": 0.5}, "note": "5", "n": 5, "long": [' + ",".join("1" * 300) + '], "similarities": {"a": 1}}'
+    df = spark.createDataFrame([("1", extra), ("2", "no json"), ("3", None), ("4", '{"a": "\u00e9"}')], "sample_id string, extra string")
+    records.write_records(df.repartition(1), str(tmp_path / "out"))
+    got = {r.sample_id: r.extra for r in spark.read.schema("sample_id string, extra string").json(str(tmp_path / "out")).collect()}
+    assert got["1"] == '{"ifd": {"score": 0.5}, "note": "5", "n": 5, "similarities": {"a": 1}}'
+    assert (got["2"], got["3"], got["4"]) == ("no json", None, '{"a": "\u00e9"}')
+    text = {r.sample_id: r.extra for r in records.text_only(df.withColumn("ifd", F.lit(1.0))).collect()}
+    assert '"ifd"' not in text["1"] and '"similarities"' not in text["1"] and '"feature"' in text["1"]
+    assert records.text_only(df.withColumn("ifd", F.lit(1.0))).columns == ["sample_id", "extra"]
+
+
+def test_encoding_is_bounded_and_empty_without_union():
+    from sluice.plans.recipe import Recipe, Step
+
+    one = Recipe("one", [Step("truncate_samples", {"total_samples": 1_000_000}, "t"), Step("semdedup", {"num_clusters": 50_000}, "s")])
+    v = space.encode(one)
+    n = (len(v) - 1) // 4
+    assert v.max() == 1.0 and not v[n:].any()
+    two = Recipe("two", [Step("union", {"source_recipe": "one"}, "u"), Step("mona_filter", {"fraction": 0.25}, "m")])
+    assert space.encode(two)[-1] == 1.0 and not space.encode(two)[n:-1].any()
+    known = space.encode(two, known={"one": one})
+    assert (known[n : 2 * n] == v[:n]).all() and (known[3 * n : -1] == np.maximum(known[:n], v[:n])).all()
+    assert space._slots("own_filter", {"jaccard_threshold": 0.3}) == [1.0, 0.3] and space._slots("own_filter", {"ratio": "x"}) == [1.0, 0.5]
