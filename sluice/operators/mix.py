@@ -70,7 +70,10 @@ class SourceMix(Operator):
             first += q
         table = df.sparkSession.createDataFrame(rows, "source_name string, _quota long, _first long, _there long")
         order = [F.md5(F.concat(F.lit(f"{p['seed'] or 0}:"), F.col("sample_id"))), F.col("ord")] if p["shuffle_within_source"] else [F.col("ord")]
-        out = df.join(F.broadcast(table), "source_name").withColumn("_at", F.row_number().over(Window.partitionBy("source_name").orderBy(*order)) - 1)
+        # places are numbered without the rest of the rows: a source may hold most of them
+        places = df.select("ord", "sample_id", "source_name").withColumn("_at", F.row_number().over(Window.partitionBy("source_name").orderBy(*order)) - 1)
+        places = places.join(F.broadcast(table), "source_name").where(F.col("_at") < F.col("_quota")).select("ord", "_at", "_quota", "_first", "_there")
+        out = df.join(places, "ord")
         if p["allow_oversample"]:
             copies = F.ceil((F.col("_quota") - F.col("_at")) / F.col("_there")).cast("int")
             out = out.where(F.col("_at") < F.col("_quota")).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(copies - 1, F.lit(0)))))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.text import unigram_entropy
-from sluice.operators.base import Context, Operator, ranked
+from sluice.operators.base import Context, Operator, cut, ranked
 
 
 def fraction_size(n: Column, fraction: float) -> Column:
@@ -35,8 +35,9 @@ class ScoreFilter(Operator):
         p = self.params
         if p["top_k"] is not None and int(p["top_k"]) < 0:
             raise ValueError(f"{self.name}: top_k is negative")
-        df = self.score(df, ctx or Context()).withColumn("_score", F.when(~F.isnan("_score"), F.col("_score").cast("double")))
-        known = df.where(F.col("_score").isNotNull())
+        # scores are written once, with the places they belong to; what else a row holds is neither ranked nor moved twice
+        scores = cut(self.score(df, ctx or Context()).select("ord", F.when(~F.isnan("_score"), F.col("_score").cast("double")).alias("_score")))
+        known = scores.where(F.col("_score").isNotNull())
         key = F.desc("_score") if p["descending"] else F.asc("_score")
         n = known.count()
         out = ranked(known, [key, F.asc("ord")], "_rank", n)
@@ -49,13 +50,14 @@ class ScoreFilter(Operator):
         else:
             keep = F.lit(True)
         # the best row is there however little is selected: it stands first in the ranks
-        out = out.where(keep | (F.col("_rank") == 1)).withColumn("ord", F.col("_rank")).drop("_rank", "_score")
+        picked = out.where(keep | (F.col("_rank") == 1)).select("ord", "_rank")
+        out = df.join(picked, "ord").withColumn("ord", F.col("_rank")).select(*df.columns)
         self.trace.notes["scored"] = n
         if p["keep_missing_scores"]:
-            missing = df.where(F.col("_score").isNull()).drop("_score").withColumn("ord", F.col("ord") + n + 1)
-            low = df.agg(F.min("ord")).first()[0] or 0
+            missing = df.join(scores.where(F.col("_score").isNull()).select("ord"), "ord", "left_semi").select(*df.columns).withColumn("ord", F.col("ord") + n + 1)
+            low = scores.agg(F.min("ord")).first()[0] or 0
             out = out.unionByName(missing.withColumn("ord", F.col("ord") - min(0, low)))
-        return out.select(*[c for c in df.columns if c != "_score"])
+        return out
 
 
 def column_of(df: DataFrame, path: str) -> Column:
