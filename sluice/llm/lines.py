@@ -53,9 +53,16 @@ def lines_of(text: str) -> list[tuple[int, str]]:
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h = h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+#: Odd factors of a band's rows in its key.
+_WEIGHTS = _mixed(np.arange(1, ROWS + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
 
 
 def shingles(line: str) -> set[str]:
@@ -73,17 +80,28 @@ def similar(a: set[str], b: set[str]) -> bool:
 def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and line of every shingle of the lines, in order."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    c += np.uint64(1)
     for k, p in ((1, 0x9FB21C651E98DF25), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
-        c = c[:-k] * np.uint64(p) + c[k:] if len(c) > k else c[:0]
+        if len(c) <= k:
+            c = c[:0]
+            break
+        tail = c[k:]
+        c = c[:-k] * np.uint64(p)
+        c += tail
     c = _mixed(c)
-    owner = np.repeat(np.arange(len(lines)), size)
-    inside = owner[: len(c)] == owner[SHINGLE - 1 :] if len(c) else np.zeros(0, bool)
-    short = np.flatnonzero(size < SHINGLE)
+    inside = np.ones(len(c), bool)
+    ends = np.cumsum(size)
+    for k in range(1, SHINGLE):  # windows that begin here run over the end of a line
+        past = ends - k
+        inside[past[(past >= 0) & (past < len(c))]] = False
+    c = c[inside]
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), np.maximum(size - SHINGLE + 1, 0))
+    short = np.flatnonzero(size < SHINGLE).astype(np.int32)
     if not len(short):
-        return c[inside], owner[: len(c)][inside]
+        return c, owner
     whole = np.array([xxhash.xxh64_intdigest(lines[i].encode("utf-8", "surrogatepass"), 7) for i in short], np.uint64)
-    h, line = np.concatenate([c[inside], whole]), np.concatenate([owner[: len(c)][inside], short])
+    h, line = np.concatenate([c, whole]), np.concatenate([owner, short])
     order = np.argsort(line, kind="stable")
     return h[order], line[order]
 
@@ -98,30 +116,31 @@ def _per_function(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _per_bin(h: np.ndarray, line: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _per_bin(h: np.ndarray, line: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One hash per shingle: the least in each bin; an empty bin takes the next full one's.  Also the distinct shingles
     of each line, told apart by 38 bits: a count that is one short still leaves both lines of a pair a kind in common."""
-    bins = ((h >> np.uint64(40)) * np.uint64(BINS)) >> np.uint64(24)
-    key = np.sort((line.astype(np.uint64) * np.uint64(BINS) + bins) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
+    key = h >> np.uint64(40)
+    key *= np.uint64(BINS)
+    key >>= np.uint64(24)
+    key += line * np.uint64(BINS)
+    key <<= np.uint64(32)
+    key |= h & np.uint64(0xFFFFFFFF)
+    key.sort()
     slot = (key >> np.uint64(32)).astype(np.int64)
-    places = np.bincount(line, minlength=n)
+    n = len(places)
     distinct = np.add.reduceat(np.append(True, key[1:] != key[:-1]), np.cumsum(places) - places, dtype=np.int64)
-    first = np.flatnonzero(np.diff(slot, prepend=-1))
-    full = np.zeros(n * BINS, bool)
-    full[slot[first]] = True
-    out = np.zeros(n * BINS, np.uint32)
-    out[slot[first]] = (key[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    out, full = out.reshape(n, BINS), full.reshape(n, BINS)
-    away = np.zeros((n, BINS), np.uint32)
-    for _ in range(BINS):
-        empty = ~full
-        if not empty.any():
-            break
-        nxt, nxt_full, nxt_away = np.roll(out, -1, 1), np.roll(full, -1, 1), np.roll(away, -1, 1)
-        take = empty & nxt_full
-        out[take], away[take] = nxt[take], nxt_away[take] + 1
-        full |= take
-    return out ^ (away * np.uint32(0x9E3779B1)), distinct
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    least = np.zeros(n * BINS, np.uint32)
+    least[slot[first]] = key[first].astype(np.uint32)
+    # the next full bin of each, around the end
+    nearest = np.full(n * BINS, 2 * BINS, np.int16)
+    nearest[slot[first]] = (slot[first] % BINS).astype(np.int16)
+    nearest = nearest.reshape(n, BINS)
+    for b in range(BINS - 2, -1, -1):
+        np.minimum(nearest[:, b], nearest[:, b + 1], out=nearest[:, b])
+    nearest = np.minimum(nearest, nearest[:, :1] + np.int16(BINS))
+    away = (nearest - np.arange(BINS, dtype=np.int16)).astype(np.uint32)
+    return np.take_along_axis(least.reshape(n, BINS), (nearest % BINS).astype(np.int64), 1) ^ (away * np.uint32(0x9E3779B1)), distinct
 
 
 def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +150,14 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     long = np.flatnonzero(n >= DIVIDED)
     binned, count = None, n.copy()
     if len(long):
-        binned, count[long] = _per_bin(h[(n >= DIVIDED)[line]], np.repeat(np.arange(len(long)), n[long]), len(long))
+        binned, count[long] = _per_bin(h[np.repeat(n >= DIVIDED, n)], np.repeat(np.arange(len(long), dtype=np.uint64), n[long]), n[long])
     keys, owners = [], []
     for kind, has in ((1, count < FULL), (2, count >= DIVIDED)):
         at = np.flatnonzero(has)
         if not len(at):
             continue
         if kind == 1:
-            own, mine = n[at], h[has[line]]
+            own, mine = n[at], h[np.repeat(has, n)]
             if (own >= FULL).any():  # much repeated: each shingle once
                 ends = np.cumsum(own).tolist()
                 sets = [mine[e - k : e] if k < FULL else np.unique(mine[e - k : e]) for e, k in zip(ends, own.tolist(), strict=True)]
@@ -146,12 +165,9 @@ def band_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             sig = _per_function(mine, np.cumsum(own) - own)
         else:
             sig = binned[has[long]]
-        for b in range(BANDS):
-            key = np.full(len(at), kind * 1000 + b, np.uint64)
-            for r in range(ROWS):
-                key = _mixed(key * _MIX + sig[:, b * ROWS + r])
-            keys.append(key)
-            owners.append(at)
+        banded = _mixed(sig.reshape(len(at), BANDS, ROWS).astype(np.uint64) @ _WEIGHTS + np.arange(kind * 1000, kind * 1000 + BANDS, dtype=np.uint64) * _MIX)
+        keys.append(banded.ravel())
+        owners.append(np.repeat(at, BANDS))
     return np.concatenate(keys), np.concatenate(owners)
 
 
