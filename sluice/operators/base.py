@@ -71,6 +71,22 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn", n: int | None =
     return placed.withColumn(name, (base + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_at")
 
 
+def ranked_within(df: DataFrame, key: str, order: list[Column], sizes: dict[Any, int], name: str = "rn") -> DataFrame:
+    """``df`` with the 1-based rank of each row among those of its key, in an order that is total there.
+
+    ``sizes`` are the rows of each key.  Rows are ranked over all keys and the rows of the keys before come off, so a key
+    that holds most rows is spread like any other.
+    """
+    before, first = [], 0
+    for k in sorted(sizes, key=lambda k: (k is not None, k)):
+        before.append((k, first))
+        first += sizes[k]
+    kind = df.schema[key].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(before, f"_key {kind}, _before long")
+    out = ranked(df, [F.col(key).asc_nulls_first(), *order], name, first)
+    return out.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, F.col(name) - F.col("_before")).drop("_key", "_before")
+
+
 @dataclass
 class Trace:
     """What an operator did."""

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.base import Context, Operator
+from sluice.operators.base import Context, Operator, ranked_within
 
 
 def quotas(available: dict[str, int], weights: dict[str, float], total: int | None = None, oversample: bool = False) -> dict[str, int]:
@@ -70,9 +70,10 @@ class SourceMix(Operator):
             first += q
         table = df.sparkSession.createDataFrame(rows, "source_name string, _quota long, _first long, _there long")
         order = [F.md5(F.concat(F.lit(f"{p['seed'] or 0}:"), F.col("sample_id"))), F.col("ord")] if p["shuffle_within_source"] else [F.col("ord")]
-        # places are numbered without the rest of the rows: a source may hold most of them
-        places = df.select("ord", "sample_id", "source_name").withColumn("_at", F.row_number().over(Window.partitionBy("source_name").orderBy(*order)) - 1)
-        places = places.join(F.broadcast(table), "source_name").where(F.col("_at") < F.col("_quota")).select("ord", "_at", "_quota", "_first", "_there")
+        # places are numbered without the rest of the rows, and over all sources at once: one may hold most of them
+        places = ranked_within(df.select("ord", "sample_id", "source_name"), "source_name", order, available).withColumn("_at", F.col("rn") - 1)
+        table = table.withColumnRenamed("source_name", "_source")
+        places = places.join(F.broadcast(table), F.col("source_name").eqNullSafe(F.col("_source"))).where(F.col("_at") < F.col("_quota")).select("ord", "_at", "_quota", "_first", "_there")
         out = df.join(places, "ord")
         if p["allow_oversample"]:
             copies = F.ceil((F.col("_quota") - F.col("_at")) / F.col("_there")).cast("int")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import unigram_entropy
-from sluice.operators.base import Context, Operator, cut, ranked
+from sluice.operators.base import Context, Operator, cut, ranked, ranked_within
 
 
 def fraction_size(n: Column, fraction: float) -> Column:
@@ -140,12 +140,14 @@ class MonaFilter(ScoreFilter):
         p = self.params
         rows = df.select("ord", "sample_id", F.explode("mona_scores").alias("benchmark", "score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
         key = F.desc("score") if p["descending"] else F.asc("score")
+        rows = cut(rows)
+        sizes = rows.groupBy("benchmark").count()
+        ranks = ranked_within(rows, "benchmark", [key, F.col("ord")], {r["benchmark"]: r["count"] for r in sizes.collect()}, "_rank")  # a row per benchmark
         if p["top_k"] is not None:
-            picked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("benchmark").orderBy(key, "ord"))).where(F.col("_rank") <= int(p["top_k"]))
+            picked = ranks.where(F.col("_rank") <= int(p["top_k"]))
         else:
-            sizes = rows.groupBy("benchmark").count().select("benchmark", fraction_size(F.col("count"), p["fraction"] if p["fraction"] is not None else 1.0).alias("_k"))
-            ranks = F.row_number().over(Window.partitionBy("benchmark").orderBy(key, "ord"))
-            picked = rows.withColumn("_rank", ranks).join(F.broadcast(sizes), "benchmark").where(F.col("_rank") <= F.col("_k"))
+            sizes = sizes.select("benchmark", fraction_size(F.col("count"), p["fraction"] if p["fraction"] is not None else 1.0).alias("_k"))
+            picked = ranks.join(F.broadcast(sizes), "benchmark").where(F.col("_rank") <= F.col("_k"))
         out = df.join(picked.select("sample_id").distinct(), "sample_id", "left_semi").select(*df.columns)
         if out.limit(1).count():
             return out

@@ -363,23 +363,25 @@ def target_vectors(spark, sf):
     return vectors.mean_vector(table(spark, sf, "embeddings"), "embedding", "label").select("label", F.col("idx").cast("long").alias("idx"), F.round("val", 6).alias("val"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS squares FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM v GROUP BY vec_id)
+SELECT vec_id, CAST(i - 1 AS BIGINT) AS place, round(x / n, 6) AS x FROM v JOIN n USING (vec_id)""")
 def row_l2_normalized(spark, sf):
     unit = vectors.l2_normalized(F.col("embedding"))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x), 6).alias("squares"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.posexplode(unit).alias("place", "x"))
+    return rows.select("vec_id", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 # --- mixes ------------------------------------------------------------------------------------------------------
 
 
-def english(spark, sf) -> DataFrame:
-    """Sources of unlike sizes."""
-    return pool(spark, sf).where("language = 'en'")
+def by_language(spark, sf) -> DataFrame:
+    """The whole pool with languages as sources: those of the fixture are of one size."""
+    return pool(spark, sf).withColumn("source_name", F.col("language"))
 
 
 def _mix_sql(weights: str, total: str, order: str = "ord", sources: str = "true") -> str:
     """Quotas by whole shares, largest remainders and a round robin over what sources lack."""
-    return f"""WITH RECURSIVE {POOL}, e AS (SELECT * FROM pool WHERE language = 'en' AND {sources})
+    return f"""WITH RECURSIVE {POOL}, e AS (SELECT * REPLACE (language AS source_name) FROM pool WHERE {sources})
 , s AS (SELECT source_name, count(*) AS avail, min(ord) AS f, {weights} AS w FROM e GROUP BY source_name)
 , tot AS (SELECT least({total}, sum(avail)) AS t, sum(w) AS sw FROM s)
 , q AS (SELECT s.*, row_number() OVER (ORDER BY f) AS pos, w / sw AS share, t, floor(t * (w / sw)) AS q0 FROM s, tot)
@@ -395,36 +397,36 @@ SELECT row_number() OVER (ORDER BY pos, rk) AS place, sample_id FROM r WHERE rk
 
 @query(_mix_sql("1.0::DOUBLE", "333"))
 def source_mix_uniform(spark, sf):
-    return picked(mix.SourceMix(total_samples=333).apply(english(spark, sf)))
+    return picked(mix.SourceMix(total_samples=333).apply(by_language(spark, sf)))
 
 
-@query(_mix_sql("CASE source_name WHEN 'src3' THEN 5.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "120", sources="source_name IN ('src1', 'src3', 'src9')").replace("row_number() OVER (ORDER BY f) AS pos", "CASE source_name WHEN 'src3' THEN 1 WHEN 'src9' THEN 2 ELSE 3 END AS pos"))
+@query(_mix_sql("CASE source_name WHEN 'de' THEN 5.0::DOUBLE WHEN 'en' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END", "520", sources="language IN ('de', 'en', 'fr')").replace("row_number() OVER (ORDER BY f) AS pos", "CASE source_name WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END AS pos"))
 def source_mix_weighted_spill(spark, sf):
-    return picked(mix.SourceMix(source_weights={"src3": 5, "src9": 1, "src1": 2}, total_samples=120).apply(english(spark, sf)))
+    return picked(mix.SourceMix(source_weights={"de": 5, "fr": 1, "en": 2}, total_samples=520).apply(by_language(spark, sf)))
 
 
 @query(_mix_sql("1.0::DOUBLE", "1000000000"))
 def source_mix_all(spark, sf):
-    return picked(mix.SourceMix().apply(english(spark, sf)))
+    return picked(mix.SourceMix().apply(by_language(spark, sf)))
 
 
 @query(
-    f"""WITH {POOL}, e AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ord) - 1 AS spot, count(*) OVER (PARTITION BY source_name) AS n FROM pool WHERE language = 'en' AND source_name IN ('src0', 'src1'))
+    f"""WITH {POOL}, e AS (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY ord) - 1 AS spot, count(*) OVER (PARTITION BY source_name) AS n FROM (SELECT * REPLACE (language AS source_name) FROM pool) WHERE source_name IN ('de', 'fr'))
 , c AS (SELECT sample_id, source_name, unnest(range(spot, 400, n)) AS spot FROM e)
 SELECT row_number() OVER (ORDER BY source_name, spot) AS place, sample_id FROM c"""
 )
 def source_mix_oversample(spark, sf):
-    return picked(mix.SourceMix(source_weights={"src0": 1, "src1": 1}, total_samples=800, allow_oversample=True).apply(english(spark, sf)))
+    return picked(mix.SourceMix(source_weights={"de": 1, "fr": 1}, total_samples=800, allow_oversample=True).apply(by_language(spark, sf)))
 
 
 @query(_mix_sql("1.0::DOUBLE", "250", "md5('7:' || sample_id), ord"))
 def truncate_samples_seeded(spark, sf):
-    return picked(mix.TruncateSamples(total_samples=250, seed=7).apply(english(spark, sf)))
+    return picked(mix.TruncateSamples(total_samples=250, seed=7).apply(by_language(spark, sf)))
 
 
 @query(_mix_sql("exp(round(avg((ord * 57 % 997)::DOUBLE / 997), 9) / 0.5::DOUBLE)", "200"))
 def varentropy_mix(spark, sf):
-    return picked(mix.VarentropyMix(total_samples=200, temperature=0.5).apply(english(spark, sf).withColumn("varentropy", (F.col("ord") * 57 % 997).cast("double") / 997)))
+    return picked(mix.VarentropyMix(total_samples=200, temperature=0.5).apply(by_language(spark, sf).withColumn("varentropy", (F.col("ord") * 57 % 997).cast("double") / 997)))
 
 
 # --- dedup and union --------------------------------------------------------------------------------------------
@@ -530,9 +532,9 @@ def score_per_task(spark, sf):
     return rows.groupBy("task").agg(F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("n"))
 
 
-@query("WITH s AS (SELECT source, count(*)::DOUBLE AS c FROM documents WHERE lang = 'en' GROUP BY source), t AS (SELECT sum(c) AS t FROM s) SELECT round(-sum(c / t * ln(c / t + 1e-12)), 6) AS entropy FROM s, t")
+@query("WITH s AS (SELECT lang, count(*)::DOUBLE AS c FROM documents GROUP BY lang), t AS (SELECT sum(c) AS t FROM s) SELECT round(-sum(c / t * ln(c / t + 1e-12)), 6) AS entropy FROM s, t")
 def source_entropy(spark, sf):
-    return plans.source_entropy(english(spark, sf)).select(F.round("entropy", 6).alias("entropy"))
+    return plans.source_entropy(by_language(spark, sf)).select(F.round("entropy", 6).alias("entropy"))
 
 
 @query("SELECT source AS source_name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")

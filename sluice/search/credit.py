@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 
 def _edges(log: DataFrame) -> DataFrame:
-    parent = log.select(F.col("recipe_name").alias("_p"), F.col("score").alias("_ps"), F.col("ops").alias("_pops"))
+    """Children with their gain, what they added and what they left out.  With a column ``settings`` (map of operators to
+    their parameters) an operator that has other parameters than in the parent counts as added."""
+    if "settings" not in log.columns:
+        log = log.withColumn("settings", F.create_map().cast("map<string,string>"))
+    parent = log.select(F.col("recipe_name").alias("_p"), F.col("score").alias("_ps"), F.col("ops").alias("_pops"), F.col("settings").alias("_pset"))
     e = log.join(parent, log["parent_name"] == parent["_p"])
-    return e.select("recipe_name", (F.col("score") - F.col("_ps")).alias("d"), F.array_except("ops", "_pops").alias("added"), F.array_except("_pops", "ops").alias("gone"))
+    changed = F.filter(F.array_intersect("ops", "_pops"), lambda o: ~F.col("settings")[o].eqNullSafe(F.col("_pset")[o]))
+    return e.select("recipe_name", (F.col("score") - F.col("_ps")).alias("d"), F.concat(F.array_except("ops", "_pops"), changed).alias("added"), F.array_except("_pops", "ops").alias("gone"))
 
 
 def operator_credit(log: DataFrame) -> DataFrame:
-    """(operator, credit, n): a child's gain over its parent, shared by what it added, and negated by what it left out.
-
-    An operator whose parameters changed counts as added: give it in ``ops`` with its parameters for that.
-    """
+    """(operator, credit, n): a child's gain over its parent, shared by what it added, and negated by what it left out."""
     e = _edges(log)
     plus = e.where(F.size("added") > 0).select(F.explode("added").alias("operator"), (F.col("d") / F.size("added")).alias("v"))
     minus = e.where(F.size("gone") > 0).select(F.explode("gone").alias("operator"), (-F.col("d") / F.size("gone")).alias("v"))

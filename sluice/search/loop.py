@@ -10,9 +10,12 @@ from pathlib import Path
 from typing import Any
 
 import numpy as np
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from sluice.operators.registry import OFFICIAL
 from sluice.plans.recipe import Executor, Recipe, Result, Step
+from sluice.search.credit import operator_credit, pair_credit
 from sluice.search.evaluators import Evaluator, utility
 from sluice.search.proposers import BestBound, LocalProposer, Proposer, Selector
 from sluice.search.space import FRACTION_OPERATORS, encode, warmup
@@ -42,10 +45,22 @@ class Entry:
         return Recipe(self.recipe_name, [Step.of(s) for s in self.steps])
 
 
-def motifs(history: list[Entry]) -> list[str]:
-    """Operators of the recipes so far, those of better ones first."""
-    seen = dict.fromkeys(s["operator"] for e in sorted(history, key=lambda e: -e.score) for s in e.steps)
-    return [o for o in seen if o not in ("union", "truncate_samples")]
+#: Operators that are no part of a motif: one needs an earlier recipe, the other leads every restart.
+APART = ("union", "truncate_samples")
+#: Best recipes, operators and pairs that a restart draws from.
+DRAWN = 5
+
+
+def credits(spark: SparkSession, history: list[Entry]) -> tuple[list[tuple[str, float]], list[tuple[tuple[str, str], float]]]:
+    """Operators and pairs of them that brought most so far, with what they brought; a search log is small."""
+    if not any(e.parent_name for e in history):
+        return [], []
+    rows = [(e.recipe_name, e.parent_name, float(e.score), [s["operator"] for s in e.steps], {s["operator"]: json.dumps(s["params"], sort_keys=True) for s in e.steps}) for e in history]
+    log = spark.createDataFrame(rows, "recipe_name string, parent_name string, score double, ops array<string>, settings map<string,string>")
+    best = lambda df, *by: df.where("credit > 0").orderBy(F.desc("credit"), *by).limit(DRAWN).collect()
+    single = [(r["operator"], r["credit"]) for r in best(operator_credit(log), "operator")]
+    pairs = [((r["first"], r["second"]), r["credit"]) for r in best(pair_credit(log, APART), "first", "second")]
+    return single, pairs
 
 
 class Search:
@@ -101,9 +116,13 @@ class Search:
 
     def _execute(self, recipe: Recipe) -> Result | None:
         try:
-            return self.executor.run(recipe)
+            result = self.executor.run(recipe)
         except Exception:  # a candidate that can't run is no candidate
             return None
+        result.final.cumulative_cost_ratio = round(len(self.history) / self.max_evaluations, 6) if self.max_evaluations > 0 else 0.0
+        if result.steps:
+            result.steps[-1]["state_after"]["cumulative_cost_ratio"] = result.final.cumulative_cost_ratio
+        return result
 
     def _evaluate(self, recipe: Recipe, result: Result, parent: str | None, predicted: float | None, origin: str) -> None:
         got = self.evaluator.evaluate(recipe.name, result.final, result)
@@ -136,12 +155,25 @@ class Search:
         return since
 
     def restart(self) -> list[Recipe]:
-        """New recipes around operators that did well, with drawn fractions."""
+        """New recipes: a cut to a drawn number of rows, then a motif.
+
+        The motif is a pair of operators that brought something, else such an operator, else the operators of one of the
+        best recipes, else a filter, drawn by credit or score.  Parameters are those of one of the best recipes, drawn
+        by score, or a drawn fraction."""
         rng = random.Random(f"{self.seed}:{len(self.history)}")
-        ops = [o for o in motifs(self.history) if o in FRACTION_OPERATORS] or list(FRACTION_OPERATORS)
-        out = []
+        best = sorted((e for e in self.history if e.score > 0), key=lambda e: -e.score)[:DRAWN]
+        single, pairs = credits(self.executor.pool.sparkSession, self.history)
+        known = self.executor.registry
+        choices = [(p, c) for p, c in pairs if all(o in known for o in p)] or [((o,), c) for o, c in single if o in known and o not in APART]
+        if not choices:
+            own = [(tuple(s["operator"] for s in e.steps if s["operator"] in known and s["operator"] not in APART), e.score) for e in best]
+            choices = [(m, score) for m, score in own if m] or [((o,), 1.0) for o in FRACTION_OPERATORS if o in known]
+        pool, out = self.executor.states.base["n"], []
         for i in range(self.n):
-            k = rng.randint(1, min(3, len(ops)))
-            picked = rng.sample(ops, k)
-            out.append(Recipe(f"restart_{len(self.history)}_{i}", [Step(o, {"fraction": round(rng.uniform(0.15, 0.85), 2)}, o) for o in picked]))
+            steps = [Step("truncate_samples", {"total_samples": rng.randint(max(1, pool // 10), pool)}, "restart_truncate")] if pool else []
+            for o in rng.choices([m for m, _ in choices], [c for _, c in choices])[0] if choices else ():
+                seen = [(s["params"], e.score) for e in best for s in e.steps if s["operator"] == o]
+                drawn = {"fraction": round(rng.uniform(0.15, 0.85), 2)} if o in FRACTION_OPERATORS else {}
+                steps.append(Step(o, dict(rng.choices([p for p, _ in seen], [x for _, x in seen])[0]) if seen else drawn, f"restart_{o}"))
+            out.append(Recipe(f"restart_{len(self.history)}_{i}", steps))
         return out

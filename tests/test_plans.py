@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.functions import answers, vectors
 from sluice.operators.registry import default_registry
 from sluice.operators.score_filter import ExampleLengthFilter
-from sluice.plans import extensions, recipe
+from sluice.plans import extensions, recipe, task
 from sluice.plans.state import StateComputer, delta
 from sluice.search import evaluators, experiment, loop, proposers, report, space, surrogate
 from sluice.sources import records, schema
@@ -247,3 +247,92 @@ def test_encoding_is_bounded_and_empty_without_union():
     known = space.encode(two, known={"one": one})
     assert (known[n : 2 * n] == v[:n]).all() and (known[3 * n : -1] == np.maximum(known[:n], v[:n])).all()
     assert space._slots("own_filter", {"jaccard_threshold": 0.3}) == [1.0, 0.3] and space._slots("own_filter", {"ratio": "x"}) == [1.0, 0.5]
+
+
+def test_batch_task(spark, tmp_path, monkeypatch):
+    m = types.ModuleType("length_extension")
+    m.register_operators = lambda registry: registry.register("example_length_filter", ExampleLengthFilter)
+    m.precompute_features = lambda df, context: df.withColumn("example_length", F.length("text"))
+    hooked = []
+    m.RECIPE_HOOKS = [types.SimpleNamespace(after_step=lambda step, rows, **_: hooked.append((step.operator, rows)))]
+    m.OPERATOR_CATALOG_PATCH = {"families": {"quality": {"operators": {"example_length_filter": {"params": {"max_chars": {"default": 4}}}}}}}
+    monkeypatch.setitem(sys.modules, "length_extension", m)
+    (tmp_path / "catalog.json").write_text(json.dumps(CATALOG))
+    (tmp_path / "a.jsonl").write_text("\n\n".join(json.dumps({"id": f"a{i}", "instruction": "do", "output": "x" * i}) for i in range(30)) + "\n")
+    (tmp_path / "c.jsonl").write_text(json.dumps({"sample_id": "c0", "source_name": "c", "messages": [{"role": "user", "content": "short"}], "target": {"text": "one two"}}))
+    (tmp_path / "own.jsonl").write_text(json.dumps({"key": 7, "q": "why", "a": "so"}))
+    raw = {
+        "task_name": "t", "output_dir": str(tmp_path / "out"), "recipe_catalog_path": "catalog.json", "extra": {"min_viable": 0},
+        "train_sources": [{"path": f"{tmp_path}/{f}.jsonl", "source_name": n, "format": k} for f, n, k in (("a", "s a", "alpaca"), ("c", "c", "canonical"), ("own", "own", "auto"))],
+        "recipe": {"enabled": True, "recipe_name": "r 1", "operators": {"example_length_filter": {"max_chars": 12}, "truncate_samples": {"total_samples": 8}}},
+    }
+    mapping = lambda df: {"sample_id": F.col("key").cast("string"), "messages": F.array(schema.message(F.lit("user"), F.col("q"))), "target_text": F.col("a")}
+    (tmp_path / "task.json").write_text(json.dumps(raw))
+    t = task.Task.load(str(tmp_path / "task.json"), "length_extension")
+    assert [s.operator for s in t.recipe.steps] == ["truncate_samples", "example_length_filter"]
+    run = task.Run(spark, t, mappings={"own": mapping}, modules="length_extension")
+    seen = []
+    run.on("after_source", lambda split, source, count: seen.append((split, source.source_name, count)))
+    out = run.run()
+    assert seen == [("train", "s a", 30), ("train", "c", 1), ("train", "own", 1)]
+    assert hooked == [("truncate_samples", 8), ("example_length_filter", out.rows)]
+    pool = run.pool().orderBy("ord").collect()
+    assert [r.sample_id for r in pool] == [f"a{i}" for i in range(30)] + ["c0", "7"] and [r.ord for r in pool] == list(range(1, 33))
+    assert pool[30].text == "short\none two" and pool[31].text == "why\nso"
+    kept = [r.sample_id for r in out.ids().orderBy("ord").collect()]
+    assert [json.loads(x.value)["sample_id"] for x in spark.read.text(f"{tmp_path}/out/recipes/r_1/dataset").collect()] == kept
+    assert [r.sample_id for r in recipe.load_ids(spark, f"{tmp_path}/out/recipes", "r 1").collect()] == kept
+
+    t = task.Task.of(raw | {"recipe": {}, "search": {"enabled": True, "search_name": "s", "max_rounds": 1, "max_candidates_per_round": 2}}, str(tmp_path))
+    assert t.recipe is None
+    run = task.Run(spark, t, mappings={"own": mapping})
+    found = run.run()
+    assert spark.read.parquet(f"{tmp_path}/out/scored/train/c").first().ngram_entropy == round(float(np.log2(3)), 9)
+    best = json.loads(spark.read.text(f"{tmp_path}/out/searches/s/final_recipe").first()[0])
+    assert best["recipe_name"] == found[0].recipe.name and found[0].objective == max(x.objective for x in found)
+
+    with pytest.raises(ValueError, match="mapping"):
+        task.Run(spark, t).ingest()
+    with pytest.raises(ValueError, match="task_name"):
+        task.Task.of({"output_dir": "x"})
+    with pytest.raises(ValueError, match="stage"):
+        task.Task.of(raw | {"recipe": {"input_stage": "raw"}}, str(tmp_path))
+    with pytest.raises(ValueError, match="event"):
+        run.on("nope", print)
+
+
+def test_restart_follows_credit(spark, pool):
+    f = lambda o, x: {"operator": o, "params": {"fraction": x}}
+    s = loop.Search(recipe.Executor(pool, min_viable=0, observe=False), evaluators.MockEvaluator(), seed=3)
+    entry = lambda name, steps, score, i, parent=None: loop.Entry(name, steps, score, None, 1.0, score, i, parent, 10)
+    assert all([x.operator for x in r.steps][0] == "truncate_samples" and len(r.steps) == 2 for r in s.restart())  # nothing known: a filter
+    s.history = [entry("a", [f("ifd_filter", 0.5), f("ngram_entropy", 0.4)], 1.0, 0)]
+    assert {tuple(x.operator for x in r.steps[1:]) for r in s.restart()} == {("ifd_filter", "ngram_entropy")}  # the best recipe's
+    s.history.append(entry("b", [f("ifd_filter", 0.7), f("ngram_entropy", 0.4)], 1.5, 1, "a"))  # other parameters count as added
+    assert loop.credits(spark, s.history) == ([("ifd_filter", 0.5)], [])
+    for r in s.restart():
+        assert [x.operator for x in r.steps] == ["truncate_samples", "ifd_filter"] and r.steps[1].params["fraction"] in (0.5, 0.7)
+        assert 20 <= r.steps[0].params["total_samples"] <= 200
+    s.history.append(entry("c", [f("varentropy_filter", 0.2), f("mona_filter", 0.3)], 2.5, 2, "b"))
+    assert {tuple(x.operator for x in r.steps[1:]) for r in s.restart()} == {("mona_filter", "varentropy_filter")}
+    assert [[(x.operator, x.params) for x in r.steps] for r in s.restart()] == [[(x.operator, x.params) for x in r.steps] for r in s.restart()]
+    r = s._execute(recipe.Recipe("x", [recipe.Step("truncate_samples", {"total_samples": 5})]))
+    assert r.final.cumulative_cost_ratio == 0.2 == r.steps[-1]["state_after"]["cumulative_cost_ratio"]
+
+
+def test_ranks_within_keys(spark, monkeypatch):
+    from sluice.operators import base, mix
+
+    rows = [(i, str(i), None if i % 7 == 0 else "a" if i % 3 else "b") for i in range(60)]
+    df = spark.createDataFrame(rows, "ord long, sample_id string, source_name string")
+    got = []
+    for n in (1_000, 10):  # one window, and ranges
+        monkeypatch.setattr(base, "WINDOW_ROWS", n)
+        sizes = {r[0]: r[1] for r in df.groupBy("source_name").count().collect()}
+        got.append({(r.source_name, r.rn): r.ord for r in base.ranked_within(df, "source_name", [F.desc("ord")], sizes).collect()})
+        picked = mix.SourceMix(total_samples=12).apply(df).orderBy("ord").collect()
+        assert [r.ord for r in picked] == list(range(12)) and {s: sum(r.source_name == s for r in picked) for s in (None, "a", "b")} == {None: 4, "a": 4, "b": 4}
+    want = {}
+    for i, _, s in reversed(rows):
+        want[s, sum(k[0] == s for k in want) + 1] = i
+    assert got == [want, want]
