@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
 from collections.abc import Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.text import let
+from sluice.operators.base import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -175,16 +177,20 @@ def varentropy(logprobs: Column) -> Column:
     return F.when(F.size(each) > 0, F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(each)).otherwise(F.lit(None).cast("double"))
 
 
+#: Bytes of validation vectors that are broadcast at once.
+BROADCAST_BYTES = 64 << 20
+
+
 def influence(train: DataFrame, valid: DataFrame, weights: dict[str, float] | None = None, subtasks: int = 0, within: str = "mean", across: str = "max") -> DataFrame:
     """(train_id, influence): dot products of train and validation vectors, reduced over the validation set.
 
-    train(train_id, checkpoint, v), valid(pos, checkpoint, v); validation vectors are few and broadcast behind their
-    use as a fixed set.  Checkpoints are added up with normalised weights.  With ``subtasks``, equal contiguous runs
+    train(train_id, checkpoint, v), valid(pos, checkpoint, v); validation vectors are broadcast, in blocks of at most
+    BROADCAST_BYTES, each of which is one more pass over the train vectors.  Checkpoints are added up with normalised weights.  With ``subtasks``, equal contiguous runs
     of validation rows are reduced by ``within`` and the runs by ``across``; otherwise all rows by ``across``.
     """
     if weights is not None and sum(weights.values()) == 0:
         raise ValueError("weights add up to zero")
-    n = valid.select("pos").distinct().count()
+    n, rows, width = valid.agg(F.countDistinct("pos"), F.count("*"), F.max(F.size("v"))).first()
     if subtasks and n % subtasks:
         raise ValueError(f"{n} validation rows can't be parted into {subtasks} equal subtasks")
     w = F.lit(1.0)
@@ -193,7 +199,13 @@ def influence(train: DataFrame, valid: DataFrame, weights: dict[str, float] | No
         w = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (k, v / total)))[F.col("checkpoint")]
     reduce = {"mean": F.avg, "max": F.max, "sum": F.sum}
     v = valid.select("pos", "checkpoint", F.col("v").alias("u"))
-    pairs = train.join(F.broadcast(v), "checkpoint").groupBy("train_id", "pos").agg(F.sum(w * dot(F.col("v"), F.col("u"))).alias("x"))
+    blocks = max(1, -(-rows * (8 * (width or 0) + 64) // BROADCAST_BYTES))
+    if blocks == 1:
+        met = train.join(F.broadcast(v), "checkpoint")
+    else:
+        v = cut(v.withColumn("_block", F.pmod(F.xxhash64("pos", "checkpoint"), F.lit(2 * blocks))))  # twice as many: hashed blocks are of unlike sizes
+        met = functools.reduce(DataFrame.union, (train.join(F.broadcast(v.where(F.col("_block") == i).drop("_block")), "checkpoint") for i in range(2 * blocks)))
+    pairs = met.groupBy("train_id", "pos").agg(F.sum(w * dot(F.col("v"), F.col("u"))).alias("x"))
     if subtasks:
         pairs = pairs.groupBy("train_id", F.floor(F.col("pos") / (n // subtasks)).alias("part")).agg(reduce[within]("x").alias("x"))
     return pairs.groupBy("train_id").agg(reduce[across]("x").alias("influence"))

@@ -336,3 +336,22 @@ def test_ranks_within_keys(spark, monkeypatch):
     for i, _, s in reversed(rows):
         want[s, sum(k[0] == s for k in want) + 1] = i
     assert got == [want, want]
+
+
+def test_influence_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vec = lambda: [float(x) for x in rng.normal(size=3).round(3)]
+    train = [(i, c, vec()) for i in range(7) for c in "ab"]
+    valid = [(i, c, vec()) for i in range(12) for c in "ab"]
+    t = spark.createDataFrame(train, "train_id long, checkpoint string, v array<double>")
+    v = spark.createDataFrame(valid, "pos long, checkpoint string, v array<double>")
+    w = {"a": 0.25, "b": 0.75}
+    x = {i: [sum(w[c] * float(np.dot(p, q)) for j, c, p in train if j == i for k, d, q in valid if (k, d) == (pos, c)) for pos in range(12)] for i in range(7)}
+    for bound in (vectors.BROADCAST_BYTES, 800):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", bound)
+        got = {r.train_id: r.influence for r in vectors.influence(t, v, {"a": 1.0, "b": 3.0}).collect()}
+        assert got == pytest.approx({i: max(y) for i, y in x.items()})
+        got = {r.train_id: r.influence for r in vectors.influence(t, v, {"a": 1.0, "b": 3.0}, subtasks=3).collect()}
+        assert got == pytest.approx({i: max(np.mean(y[k : k + 4]) for k in (0, 4, 8)) for i, y in x.items()})
+    none = vectors.influence(t, v.limit(0), w)
+    assert none.count() == 0
