@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.text import strip
+from sluice.functions.text import WORD, strip
 
 
 def _lines(text: Column) -> Column:
@@ -136,10 +136,17 @@ def graph_answer(text: Column, task: Column) -> Column:
     return F.coalesce(F.when(task.isin(*GRAPH_BINARY), binary).when(task.isin(*GRAPH_NUMERIC), _found(got, r"(-?\d+)")), got)
 
 
-def yes_no_label(text: Column) -> Column:
-    """Of what follows the last 'Answer:', else of the whole text: yes wherever the word stands, else no, else null."""
-    t = F.lower(_first_of(_last_said(text), text))
-    return F.when(t.rlike(r"\byes\b"), F.lit("yes")).when(t.rlike(r"\bno\b"), F.lit("no"))
+def yes_no_label(text: Column, ascii_words: bool = False) -> Column:
+    """Of what follows the last 'Answer:', else of the whole text: yes wherever the word stands, else no, else null.
+
+    Letters of all scripts make up words, so 'ñno' isn't no.  With ``ascii_words`` only ASCII ones do, as in engines that
+    use RE2; what a plain \\b means depends on the Java version.
+    """
+    said = _first_of(_last_said(text), text)
+    t = F.lower(F.translate(said, "\u0130", "i") if ascii_words else said)  # Java's lower case of it is i and a mark
+    word = "[0-9A-Za-z_]" if ascii_words else WORD
+    alone = lambda w: t.rlike(f"(?<!{word}){w}(?!{word})")
+    return F.when(alone("yes"), F.lit("yes")).when(alone("no"), F.lit("no"))
 
 
 #: What a line of Python may begin with.

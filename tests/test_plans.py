@@ -355,3 +355,21 @@ def test_influence_in_blocks(spark, monkeypatch):
         assert got == pytest.approx({i: max(np.mean(y[k : k + 4]) for k in (0, 4, 8)) for i, y in x.items()})
     none = vectors.influence(t, v.limit(0), w)
     assert none.count() == 0
+
+
+def test_yes_and_no_between_accented_letters(spark, tmp_path):
+    """Scorers go by letters of all scripts; graph_labels goes by ASCII ones, as its SQL does in DuckDB."""
+    import duckdb
+
+    from sluice import queries
+
+    said = ["ñno", "noé", "Asíyes, no", "yes", "_no", "n\u0303 no", "\u0130no", "no\u0130", "\u0661no", "known", "no.", "3yes", "no\u0301", None]
+    df = spark.createDataFrame([(12 * i + 3, t) for i, t in enumerate(said)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in duck.execute(queries.ORACLES["graph_labels"]).fetchall()}
+    got = {r.id: r.label for r in queries.QUERIES["graph_labels"](spark, str(tmp_path)).collect()}
+    assert got == want and [want[k] for k in (3, 15, 27)] == ["no", "no", "yes"]
+    got = df.select(answers.yes_no_label(F.col("text")).alias("b"), "doc_id").orderBy("doc_id").collect()
+    assert [r.b for r in got][:6] == [None, None, "no", "yes", None, "no"]
