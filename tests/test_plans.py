@@ -373,3 +373,34 @@ def test_yes_and_no_between_accented_letters(spark, tmp_path):
     assert got == want and [want[k] for k in (3, 15, 27)] == ["no", "no", "yes"]
     got = df.select(answers.yes_no_label(F.col("text")).alias("b"), "doc_id").orderBy("doc_id").collect()
     assert [r.b for r in got][:6] == [None, None, "no", "yes", None, "no"]
+
+
+def test_influence_leaves_pairs_in_tasks(spark, monkeypatch):
+    """Rows that miss a checkpoint, stand twice or hold nulls count as in a join of all pairs, which isn't made."""
+    train = [(1, "a", [1.0, 2.0]), (1, "b", [0.5, 1.0]), (2, "a", [-1.0, 0.0]), (2, "a", [0.0, 3.0]), (3, "b", [None, 1.0]), (4, "c", [9.0, 9.0]), (5, "z", [1.0, 1.0]), (None, "a", [-2.0, -2.0])]
+    valid = [(0, "a", [1.0, 1.0]), (0, "b", [2.0, 0.0]), (1, "b", [1.0, 1.0]), (2, "a", [-4.0, 1.0]), (2, "a", [1.0, 1.0]), (3, "a", [None, 1.0]), (3, "c", [1.0, 0.0])]
+    w = {"a": 0.25, "b": 0.75}
+    pairs: dict = {}
+    for i, c, t in train:
+        for pos, d, u in valid:
+            if c == d:
+                x = None if c not in w or None in t or None in u else w[c] * sum(p * q for p, q in zip(t, u, strict=True))
+                old = pairs.get((i, pos))
+                pairs[i, pos] = x if old is None else old if x is None else old + x
+    how = {"max": max, "sum": sum, "mean": lambda x: sum(x) / len(x)}
+    some = lambda f, x: how[f]([y for y in x if y is not None]) if any(y is not None for y in x) else None
+    ids = {i for i, _ in pairs}
+    v = spark.createDataFrame(valid, "pos long, checkpoint string, v array<double>")
+    t = spark.createDataFrame(train, "train_id long, checkpoint string, v array<double>")
+    for bound in (vectors.BROADCAST_BYTES, 150):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", bound)
+        monkeypatch.setattr(vectors, "PRODUCTS", 1 << 21 if bound > 150 else 3)
+        for f in how:
+            got = vectors.influence(t, v, {"a": 1.0, "b": 3.0}, across=f)
+            assert {r.train_id: r.influence for r in got.collect()} == pytest.approx({i: some(f, [x for (k, _), x in pairs.items() if k == i]) for i in ids})
+            assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+            got = {r.train_id: r.influence for r in vectors.influence(t, v, {"a": 1.0, "b": 3.0}, subtasks=2, within=f).collect()}
+            runs = {i: [some(f, [x for (k, pos), x in pairs.items() if k == i and pos // 2 == p]) for p in (0, 1) if any(k == i and pos // 2 == p for k, pos in pairs)] for i in ids}
+            assert got == pytest.approx({i: some("max", x) for i, x in runs.items()})
+    with pytest.raises(Exception, match="unlike length"):
+        vectors.influence(t.withColumn("v", F.array(F.lit(1.0))), v).collect()
