@@ -188,6 +188,30 @@ def test_ngram_jaccard_and_semdedup(spark):
         dedup.SemDedup().apply(df)
 
 
+def test_semdedup_in_rounds(spark, monkeypatch):
+    """Rows are decided as by a pass in order, in one round or many, and no table of all near pairs is made."""
+    r = random.Random(9)
+    rows = [(i, str(i), "s", sorted({(r.randint(0, 5), float(r.randint(1, 4))) for _ in range(r.randint(1, 4))}), r.choice([0, 1, None])) for i in range(300)]
+
+    def cos(a, b):
+        size = lambda x: sum(v * v for _, v in x) ** 0.5
+        return round(sum(v * w for i, v in a for j, w in b if i == j) / size(a) / size(b), 9)
+
+    want: list = []
+    for x in rows:
+        if x[4] is None or not any(y[4] == x[4] and cos(x[3], y[3]) >= 0.9 for y in want):
+            want.append(x)
+    df = spark.createDataFrame(rows, "ord long, sample_id string, source_name string, sparse array<struct<idx:int,val:double>>, cluster int")
+    listed = []
+    monkeypatch.setattr(dedup, "keep_greedily", lambda *a, **k: listed.append(a))
+    for most, cells in ((32_768, 4_000_000), (40, 20)):
+        monkeypatch.setattr(dedup, "LEADER_ROWS", most)
+        monkeypatch.setattr(dedup, "LEADER_CELLS", cells)
+        got = dedup.SemDedup(cosine_threshold=0.9, num_clusters=2).apply(df)
+        assert ids(got) == [x[1] for x in want] and got.columns == df.columns
+    assert not listed
+
+
 def test_registry():
     r = default_registry()
     assert set(OFFICIAL) <= set(r.names())
