@@ -404,3 +404,17 @@ def test_influence_leaves_pairs_in_tasks(spark, monkeypatch):
             assert got == pytest.approx({i: some("max", x) for i, x in runs.items()})
     with pytest.raises(Exception, match="unlike length"):
         vectors.influence(t.withColumn("v", F.array(F.lit(1.0))), v).collect()
+
+
+def test_influence_means_take_no_pairs(spark, monkeypatch):
+    """A mean over a run is one product with its vectors' sum, however many rows it has."""
+    rng = np.random.default_rng(8)
+    train = spark.createDataFrame([(i, "a", rng.normal(size=3).tolist()) for i in range(5)], "train_id long, checkpoint string, v array<double>")
+    valid = spark.createDataFrame([(i, "a", rng.normal(size=3).tolist()) for i in range(60)], "pos long, checkpoint string, v array<double>")
+    rows, block = [], vectors._validation_block
+    monkeypatch.setattr(vectors, "_validation_block", lambda t: rows.append(len(t)) or block(t))
+    t, v = (np.array([r.v for r in d.collect()]) for d in (train, valid))
+    want = {i: max(np.mean(x[k : k + 20]) for k in (0, 20, 40)) for i, x in enumerate(t @ v.T)}
+    assert {r.train_id: r.influence for r in vectors.influence(train, valid, subtasks=3).collect()} == pytest.approx(want)
+    assert {r.train_id: r.influence for r in vectors.influence(train, valid, across="sum").collect()} == pytest.approx(dict(enumerate((t @ v.T).sum(axis=1))))
+    assert sum(rows) == 4
