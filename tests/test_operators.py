@@ -219,3 +219,35 @@ def test_registry():
         r.register("union", Union)
     with pytest.raises(KeyError):
         Registry().create("union")
+
+
+@pytest.mark.parametrize("group_rows, pairs_a_row", [(64, 8), (2, 0)])
+def test_ngram_jaccard_of_many_near_copies(spark, monkeypatch, group_rows, pairs_a_row):
+    """Rows are decided as by a pass in order, and neither near copies nor a passage that most texts have make pairs of all texts."""
+    r = random.Random(4)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    core, common = [word() for _ in range(60)], [word() for _ in range(7)]
+    texts = ["", " \x0b ", "a b", "A  b\n", "a b c d e"] + [" ".join(common + [word() for _ in range(r.randint(1, 4))]) for _ in range(40)]
+    for _ in range(80):
+        t = list(core)
+        for _ in range(r.randint(0, 3)):
+            t[r.randrange(60)] = word()
+        texts.append(" ".join(t))
+    r.shuffle(texts)
+    grams = [(lambda t: {tuple(t[i : i + 5]) for i in range(max(len(t) - 5, 0) + 1)} if t else set())(x.lower().split()) for x in texts]
+    kept: list[int] = []
+    for i, g in enumerate(grams):
+        if not any(len(g & grams[k]) >= 0.8 * len(g | grams[k]) for k in kept if g and grams[k]):
+            kept.append(i)
+    monkeypatch.setattr(dedup, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(dedup, "PAIRS_A_ROW", pairs_a_row)
+    tried, similar = [], dedup._similar
+
+    def counted(pairs, *rest):
+        tried.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(dedup, "_similar", counted)
+    df = spark.createDataFrame([(i, str(i), "s", t) for i, t in enumerate(texts)], "ord long, sample_id string, source_name string, text string")
+    assert ids(dedup.ngram_jaccard_keep(df)) == [str(i) for i in kept]
+    assert sum(tried) < 2000 and (len(tried) > 1) == (group_rows == 2)
