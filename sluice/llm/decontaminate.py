@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import store
-from sluice.llm.common import materialize, read, shared_path, steps, texts_of
+from sluice.llm.common import at_hand, materialize, read, shared_path, steps, texts_of
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -268,6 +268,7 @@ def build(spark: SparkSession, items: DataFrame, most: int = INDEX_BYTES) -> Cal
     return lambda: (_part(out, p) for p in range(parts))
 
 
+@at_hand
 @functools.lru_cache(maxsize=1)
 def _part(out: str, p: int) -> Index:
     return pickle.loads(store.load(out, str(p)))

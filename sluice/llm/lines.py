@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from sluice.llm.common import NULL_ID, columns, fresh, materialize, read, steps, texts_of
+from sluice.llm.common import NULL_ID, columns, forget, fresh, materialize, read, steps, texts_of, trim
 from sluice.llm.components import components
 
 SHINGLE, SIMILARITY = 8, 0.8
@@ -175,6 +175,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """(h1, h2, doc_id, tie, line) of every line; a null doc_id is the least long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in steps(batches, "text"):
             doc, tie, no, h = [], [], [], []
             for d, k, t in zip(b.column("doc_id").to_pylist(), b.column("tie").to_pylist(), texts_of(b), strict=True):
@@ -204,6 +205,7 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
     """(lead, gid, h1): lines (by the first half of their hash) that share a band's key, each set of lines once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def packed() -> pa.RecordBatch:
@@ -227,8 +229,10 @@ def candidates(docs: DataFrame, buckets: int) -> DataFrame:
                 yield packed()
         if held:
             yield packed()
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held = [x for b in batches for x in b.column("payload").to_pylist()]
         if not held:
             return
@@ -276,6 +280,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         few = spark.sparkContext.broadcast(np.sort(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         met: set[int] = set()
         for b in steps(batches, "text"):
             lines, h = _distinct_lines(texts_of(b))
@@ -405,6 +410,7 @@ def links(docs: DataFrame, n_lines: int = 0) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[dict] = []
         judge = Judge()
         for b in batches:
@@ -417,6 +423,8 @@ def links(docs: DataFrame, n_lines: int = 0) -> DataFrame:
                     held = held[n:]
         if held:
             yield _linked(held, judge)
+            del held, judge
+        trim()
 
     dealt = tiled.repartition("lead", "apart", "i", "j").sortWithinPartitions("lead", "apart", "gid", "i", "j", "text")
     return dealt.mapInArrow(run, "a struct<h1: long, h2: long>, b struct<h1: long, h2: long>")

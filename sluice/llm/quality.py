@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import read, steps, texts_of
+from sluice.llm.common import at_hand, read, steps, texts_of, trim
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
@@ -191,6 +191,7 @@ def byte_level(path: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@at_hand
 @functools.lru_cache(maxsize=1)
 def _fertility(paths: tuple[str, str, str]) -> Fertility:
     return Fertility(*paths)
@@ -356,5 +357,6 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             langs = b.column("lang").to_pylist() if "lang" in names else [None] * b.num_rows
             kept = measure(texts_of(b), langs, paths)["kept"]
             yield b.filter(pa.array(kept, pa.bool_()))
+        trim()
 
     return docs.mapInArrow(run, schema)

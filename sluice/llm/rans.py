@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import store, wordbpe
-from sluice.llm.common import NULL_ID, Shards, materialize, range_shards, read, shared_path, steps, texts_of
+from sluice.llm.common import NULL_ID, Shards, at_hand, materialize, range_shards, read, shared_path, steps, texts_of
 
 LOW = 1 << 31
 LANES, BLOCK, CHECK_STEPS = 1024, 1 << 20, 256
@@ -183,6 +183,7 @@ class _Words(dict):
         return b"".join(map(self.__getitem__, wordbpe.words(text)))
 
 
+@at_hand
 @functools.lru_cache(maxsize=1)
 def _words(path: str) -> _Words:
     return _Words(path)

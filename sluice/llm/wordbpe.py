@@ -16,6 +16,8 @@ import unicodedata
 import regex
 from tokenizers import Regex, normalizers, pre_tokenizers
 
+from sluice.llm.common import at_hand
+
 _SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 #: str.split() also splits at U+001C..1F, which are not white space to the vocabulary.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -137,6 +139,7 @@ class WordBpe:
         return " ".join([tokens[i] for i in ids])
 
 
+@at_hand
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     return WordBpe(path)

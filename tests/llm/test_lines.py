@@ -160,3 +160,20 @@ def test_large_groups_are_split_over_tasks(spark, monkeypatch, apart, tile):
     monkeypatch.setattr(lines, "TILE_LINES", tile)
     monkeypatch.setattr(lines, "BUCKET_BYTES", 50_000)
     assert {tuple(r) for r in lines.removed_lines(d).collect()} == want and want
+
+
+def test_line_dedup_drops_what_other_stages_keep_at_hand(spark):
+    """Workers serve all stages of the pipeline: vocabularies of one don't stay in memory during the next."""
+    from sluice.llm import lines, wordbpe
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    wordbpe.load(wordbpe.default_path())
+    assert wordbpe.load.cache_info().currsize
+    assert list(lines.occurrences(Docs())(iter([]))) == []
+    assert not wordbpe.load.cache_info().currsize
